@@ -39,7 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph of (a, b) with a > b: one row (node, component) per node.
+    """Connected components of an undirected graph of (a, b): a row (node, component) for each node but the smallest of
+    its component, which stands for itself.
 
     ``component`` is the smallest node that can be reached.  Each round hangs every neighbour of a node under the
     smallest node in sight: first from the larger ends (large star), then from the smaller ones (small star).

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyflow.llm import quality, sharding
+from tallyflow.llm import packing, pii, quality, sharding, simhash, tokens
 
-MODULES = (sharding, quality)
+MODULES = (sharding, quality, simhash, tokens, packing, pii)
 
 
 def queries():
