@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyflow.llm import packing, pii, quality, sharding, simhash, tokens
+from tallyflow.llm import html_text, packing, pii, quality, sharding, simhash, tokens, toxicity
 
-MODULES = (sharding, quality, simhash, tokens, packing, pii)
+MODULES = (sharding, html_text, quality, simhash, toxicity, tokens, packing, pii)
 
 
 def queries():
