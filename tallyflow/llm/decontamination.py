@@ -25,7 +25,7 @@ WIDTH = 8
 #: Items of fewer tokens can't be told from chance and aren't searched.
 LEAST_TOKENS = 5
 #: A template window needs so many tokens that aren't placeholders, in eighths of its width.
-LITERAL = 5
+LITERAL = 4
 #: An item is leaked to a document that holds this share of its windows.
 COVERAGE = 0.5
 #: Windows of the benchmark whose hashes are handed to the tasks as a filter at most (8 bytes each); beyond, none is.
@@ -65,7 +65,7 @@ class _Line:
 
     def __init__(self, text: str, code) -> None:
         self.chunks = text.replace("\n", " \n ").replace("\t", " ").split(" ")
-        codes = np.fromiter(map(code, self.chunks), dtype=np.int64, count=len(self.chunks)).view(np.uint64)
+        codes = np.fromiter(map(code.__getitem__, self.chunks), dtype=np.int64, count=len(self.chunks)).view(np.uint64)
         codes = np.where(codes > np.uint64(15), codes + np.uint64(1 << 63), codes)
         end = (codes & np.uint64(_END)) > 0
         self.at = np.nonzero(codes & np.uint64(_TOKEN))[0]
@@ -115,7 +115,9 @@ def _filter(known: np.ndarray):
 
     def keep(h: np.ndarray) -> np.ndarray:
         maybe = bits[h.view(np.uint64) & np.uint64((1 << 22) - 1)]
-        maybe[maybe] = np.isin(h[maybe], known)
+        some = h[maybe]
+        at = np.searchsorted(known, some)
+        maybe[maybe] = known[np.minimum(at, len(known) - 1)] == some if len(known) else False
         return maybe
 
     return keep

@@ -56,7 +56,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048,
             at, starts, lengths, ids, totals = [], [], [], [], []
             held = 0
             for row, t in enumerate(b.column(1).to_pylist()):
-                all_ids = b"".join(map(ids_of, t.replace("\n", " ").split(" "))) + end
+                all_ids = b"".join(map(ids_of.__getitem__, t.replace("\n", " ").split(" "))) + end
                 n, start = len(all_ids) // 4, 0
                 for length in piece_lengths(n, longest):
                     at.append(row)

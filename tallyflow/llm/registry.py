@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyflow.llm import decontamination, html_text, packing, pii, quality, sharding, simhash, tokens, toxicity
+from tallyflow.llm import decontamination, html_text, packing, passages, pii, quality, sharding, simhash, tokens, toxicity
 
-MODULES = (sharding, html_text, quality, simhash, toxicity, tokens, packing, pii, decontamination)
+MODULES = (sharding, html_text, quality, simhash, toxicity, tokens, packing, pii, passages, decontamination)
 
 
 def queries():

@@ -19,29 +19,34 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.common import table
 
-#: Pieces that a worker remembers before it forgets the older half; bounds memory, not results.
+#: Pieces that a worker remembers at most; bounds memory, not results.
 CACHE = 200_000
 
 
-class Remembered:
-    """A function's results by argument: what wasn't asked for during a whole generation is forgotten."""
+class Remembered(dict):
+    """A function's results by argument, as a dict that fills itself and holds about ``size`` of them.
+
+    When it is half full, what it holds becomes the old half, and the old half before that, unless asked for since, goes.
+    ``__getitem__`` is the fast way in; a call does the same.
+    """
 
     def __init__(self, of: Callable, size: int = CACHE):
-        self.of, self.half = of, max(1, size // 2)
-        self.young: dict = {}
-        self.old: dict = {}
+        super().__init__()
+        self.of, self.half, self.old = of, max(1, size // 2), {}
 
-    def __call__(self, x):
-        found = self.young.get(x)
+    def __missing__(self, x):
+        found = self.old.get(x)
         if found is None:
-            found = self.old.get(x)
-            if found is None:
-                found = self.of(x)
-            if len(self.young) >= self.half:
-                self.old, self.young = self.young, {}
-            self.young[x] = found
+            found = self.of(x)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[x] = found
         return found
 
+    def __call__(self, x):
+        return self[x]
+
 
 def pair_ranks(path: str) -> dict[tuple[str, str], int]:
     """The merges of a tokenizers file, by their two symbols."""
@@ -106,7 +111,7 @@ def counter(path: str) -> Callable[[str], int]:
         symbols[-1] += mark
         return merged_count(symbols, ranks)
 
-    word = Remembered(word)
+    word = Remembered(word).__getitem__
 
     def lower(s: str) -> str:  # by character: no final form of sigma
         return "".join(c.lower() for c in s) if "Σ" in s else s.lower()
@@ -119,7 +124,7 @@ def counter(path: str) -> Callable[[str], int]:
             return sum(map(plain, at_special.split(s))) + len(at_special.findall(s))
         return plain(s)
 
-    piece = Remembered(piece)
+    piece = Remembered(piece).__getitem__
     return lambda text: sum(map(piece, text.replace("\n", " ").split(" ")))
 
 

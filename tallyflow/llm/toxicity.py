@@ -168,7 +168,7 @@ def quoted(chunks: list[str], at: int) -> bool:
 def features(text: str, find, model: Model) -> list[float]:
     """Whole-word hits, stem hits, fuzzy hits, quoted hits (each as log1p), summed log-odds, hits per 100 words."""
     chunks = text.replace("\n", " ").split(" ")
-    hits = [(i, m) for i, m in enumerate(map(find, chunks)) if m]
+    hits = [(i, m) for i, m in enumerate(map(find.__getitem__, chunks)) if m]
     n = [0.0] * 4
     odds = 0.0
     for i, (term, edits) in hits:
