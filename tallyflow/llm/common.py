@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A narrow side of a join, stored and counted: it is broadcast if it has at most ``most`` rows, else shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of (a, b): a row (node, component) for each node but the smallest of
     its component, which stands for itself.

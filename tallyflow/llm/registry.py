@@ -8,7 +8,9 @@ MODULES = (sharding, html_text, quality, simhash, toxicity, tokens, packing, pii
 
 
 def queries():
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import WORD, components, cut, table
+from tallyflow.llm.common import WORD, components, cut, small_side, table
 
 BITS, SEGMENT = 64, 2
 _LOW = 0x5555555555555555
@@ -129,6 +129,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays per near-duplicate group: that of the smallest id.
+
+    Of several rows with that id, one stays. A group of null ids only stays as it is.
+    """
+    classes = cut(near_duplicates(docs, distance, shingle, blocks, key, text).select("doc_id", "component_id"))
+    gone = small_side(classes.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    again = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    again = small_side(again)
+    if again.isEmpty():
+        return kept
+    same = F.col(key) == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
