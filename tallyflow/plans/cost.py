@@ -1,0 +1,128 @@
+"""Queries of pricing and attribution over the derived requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyflow.functions import text as X
+from tallyflow.functions import usage as U
+from tallyflow.operators import attribution as A
+from tallyflow.operators import pricing as P
+from tallyflow.plans import derive as D
+from tallyflow.plans.derive import SQL
+
+
+def priced(spark, sf):
+    return P.price_units(D.units(spark, sf), D.prices(spark), D.vendor())
+
+
+def turns(spark, sf):
+    return P.price_turns(priced(spark, sf))
+
+
+def price_units_by_model(spark, sf):
+    p = priced(spark, sf)
+    return p.groupBy("model").agg(
+        F.sum("pico").cast("decimal(38,0)").alias("pico"), F.sum("total").alias("tokens"), F.sum(F.when(F.col("pico").isNull(), F.col("total")).otherwise(0)).alias("unpriced_tokens"), F.count("*").alias("n_units"))
+
+
+def price_flags(spark, sf):
+    p = priced(spark, sf)
+    return p.groupBy("vendor", "model").agg(F.sum(F.col("write_floor").cast("long")).alias("n_write_floor"), F.sum(F.col("read_floor").cast("long")).alias("n_read_floor"), F.sum(U.cached_read_saving()).cast("decimal(38,0)").alias("cached_saving"))
+
+
+def tier_boundary(spark, sf):
+    p = priced(spark, sf).where("vendor = 'beta' and pico is not null")
+    return p.groupBy((F.col("rates.r_in") > F.col("price.r_in")).alias("upper"), "model").agg(F.count("*").alias("n_units"), F.min(U.prompt_side()).alias("least_prompt"), F.max(U.prompt_side()).alias("most_prompt"), F.sum("pico").cast("decimal(38,0)").alias("pico"))
+
+
+def price_turns(spark, sf):
+    return turns(spark, sf).select("session_id", "turn_index", "pico", "total", "unpriced_tokens", "n_units", "n_priced", "complete", "write_floor", "read_floor")
+
+
+def envelope_units(spark, sf):
+    """Every fifth turn claims one token too many; every seventh has no explicit requests."""
+    u = D.units(spark, sf)
+    t = u.groupBy("session_id", "turn_index").agg(*[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_creation", "cc_5m", "cc_1h", "total")], F.min("ts_ms").alias("ts_ms"), F.min("day").alias("day"), F.min("model").alias("model"))
+    t = t.withColumn("total", F.col("total") + (F.col("turn_index") % 5 == 4).cast("long")).withColumn("units_state", F.when(F.col("turn_index") % 7 == 6, "implicit").otherwise("explicit"))
+    t = t.withColumns({"provider_state": F.lit("absent"), "provider": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    kept = P.envelope_units(t, u.join(t.where("units_state = 'explicit'").select("session_id", "turn_index"), ["session_id", "turn_index"], "left_semi"))
+    return kept.groupBy("session_id").agg(F.count("*").alias("n_units"), F.sum("total").alias("tokens"), F.countDistinct("turn_index").alias("n_turns"))
+
+
+def tool_attribution(spark, sf):
+    t = A.by_tool(turns(spark, sf), D.calls(spark, sf))
+    return t.groupBy("tool").agg(F.sum("n_calls").alias("n_calls"), F.round(F.sum("pico").cast("double") / 1e12, 7).alias("usd"), F.round(F.sum("tokens").cast("double"), 1).alias("tokens"), F.count("pico").alias("n_priced"))
+
+
+def session_totals(spark, sf):
+    return A.session_totals(turns(spark, sf)).withColumn("coverage", A.coverage()).select("session_id", "pico", "tokens", "unpriced_tokens", "n_turns", "n_unpriced_turns", "write_floor", "read_floor", "coverage")
+
+
+def cost_by_session_model(spark, sf):
+    return A.by_model(priced(spark, sf))
+
+
+def model_mix(spark, sf):
+    return A.model_mix(D.units(spark, sf).withColumn("session_id", F.concat(F.lit("g"), (F.col("session_id").cast("int") % 7).cast("string")))).select("session_id", "model", "tokens", "share", F.col("rank").cast("long").alias("rank"))
+
+
+def peak_turn(spark, sf):
+    return A.peak_turn(turns(spark, sf))
+
+
+def price_rows_used(spark, sf):
+    return A.prices_used(priced(spark, sf)).groupBy("vendor", "model", "from_date").agg(F.count("*").alias("n_session_days"))
+
+
+def cheapest_row(spark, sf):
+    """The cheapest open row per vendor, and the requests of that vendor."""
+    c = P.cheapest_current(D.prices(spark)).select("vendor", F.col("cheapest.model").alias("cheapest_model"), F.col("cheapest.r_in").alias("r_in"))
+    return D.units(spark, sf).withColumn("vendor", D.vendor()).join(F.broadcast(c), "vendor").groupBy("vendor", "cheapest_model", "r_in").agg(F.count("*").alias("n_units"))
+
+
+def price_delta(spark, sf):
+    p = priced(spark, sf).withColumn("session_id", F.concat_ws(":", "session_id", "turn_index"))
+    return P.price_delta(p, D.prices(spark))
+
+
+def book_faults(spark, sf):
+    """A book with faults planted in it, by the number of requests that fall on a faulty model."""
+    import datetime
+
+    book, day = D.prices(spark), datetime.date
+    more = spark.createDataFrame([("beta", "beta-mini", day(2024, 1, 20), None, 1, 1, None, None, None, None, [], 9), ("alpha", "alpha-large", day(2024, 3, 1), day(2024, 2, 1), 1, 1, None, None, None, None, [], 10)], book.schema)
+    bad = P.book_faults(book.unionAll(more))
+    return D.units(spark, sf).groupBy("model").agg(F.count("*").alias("n_units")).join(F.broadcast(bad), "model").select("vendor", "model", "from_date", "fault", "n_units")
+
+
+def usd_floor(spark, sf):
+    return turns(spark, sf).where("pico is not null").select("session_id", "turn_index", X.usd_floor(F.col("pico")).alias("usd"))
+
+
+def token_formats(spark, sf):
+    t = turns(spark, sf)
+    names = ["<1k", "1k-5k", "5k-20k", "20k+"]
+    return t.select("session_id", "turn_index", X.short_tokens(F.col("total")).alias("short"), X.bucket(F.col("total"), [1000, 5000, 20000], names).alias("bucket"), X.share(F.col("cache_read"), F.col("total")).alias("cached"))
+
+
+QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, token_formats)}
+
+ORACLE_SQL = {
+    "price_units_by_model": SQL + "SELECT model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(CASE WHEN pico IS NULL THEN total ELSE 0 END) AS BIGINT) AS unpriced_tokens, count(*) AS n_units FROM priced GROUP BY model",
+    "price_flags": SQL + "SELECT vendor, model, CAST(sum(CAST(write_floor AS INT)) AS BIGINT) AS n_write_floor, CAST(sum(CAST(read_floor AS INT)) AS BIGINT) AS n_read_floor, CAST(sum(CASE WHEN c_r_in >= c_r_cached THEN cache_read * (c_r_in - c_r_cached) END) AS DECIMAL(38,0)) AS cached_saving FROM priced GROUP BY ALL",
+    "tier_boundary": SQL + "SELECT c_r_in > row_in AS upper, model, count(*) AS n_units, min(input + cache_read + cache_creation) AS least_prompt, max(input + cache_read + cache_creation) AS most_prompt, CAST(sum(pico) AS DECIMAL(38,0)) AS pico FROM priced WHERE vendor = 'beta' AND pico IS NOT NULL GROUP BY ALL",
+    "price_turns": SQL + "SELECT session_id, turn_index, CAST(pico AS DECIMAL(38,0)) AS pico, CAST(total AS BIGINT) AS total, CAST(unpriced_tokens AS BIGINT) AS unpriced_tokens, n_units, n_priced, complete, write_floor, read_floor FROM turns",
+    "envelope_units": SQL + ", w AS (SELECT session_id, turn_index, count(*) AS n, sum(total) AS total FROM units GROUP BY ALL) SELECT session_id, CAST(sum(CASE WHEN turn_index % 7 = 6 THEN 1 ELSE n END) AS BIGINT) AS n_units, CAST(sum(total + CASE WHEN turn_index % 5 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS tokens, count(*) AS n_turns FROM w WHERE turn_index % 7 = 6 OR turn_index % 5 <> 4 GROUP BY session_id",
+    "tool_attribution": SQL + ", n AS (SELECT session_id, turn_index, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT t.session_id, coalesce(name, '(thinking/reply)') AS tool, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS k, CAST(pico AS DOUBLE) / coalesce(n, 1) AS pico, CAST(total AS DOUBLE) / coalesce(n, 1) AS tokens FROM turns t LEFT JOIN n USING (session_id, turn_index) LEFT JOIN calls c USING (session_id, turn_index)), p AS (SELECT session_id, tool, sum(k) AS k, sum(pico) AS pico, sum(tokens) AS tokens FROM s GROUP BY ALL) SELECT tool, CAST(sum(k) AS BIGINT) AS n_calls, round(sum(pico) / 1e12, 7) AS usd, round(sum(tokens), 1) AS tokens, count(pico) AS n_priced FROM p GROUP BY tool",
+    "session_totals": SQL + "SELECT session_id, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(unpriced_tokens) AS BIGINT) AS unpriced_tokens, count(*) AS n_turns, CAST(count(*) - sum(CAST(complete AS INT)) AS BIGINT) AS n_unpriced_turns, bool_or(write_floor) AS write_floor, bool_or(read_floor) AS read_floor, CASE WHEN sum(pico) IS NULL THEN 'unpriced' WHEN sum(unpriced_tokens) > 0 THEN 'partial' ELSE 'full' END AS coverage FROM turns GROUP BY session_id",
+    "cost_by_session_model": SQL + "SELECT session_id, model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens FROM priced WHERE pico IS NOT NULL GROUP BY ALL",
+    "model_mix": SQL + ", g AS (SELECT 'g' || (CAST(session_id AS INT) % 7) AS session_id, model, sum(total) AS tokens FROM units GROUP BY ALL) SELECT session_id, model, CAST(tokens AS BIGINT) AS tokens, round(tokens / sum(tokens) OVER (PARTITION BY session_id), 6) AS share, row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, model) AS rank FROM g",
+    "peak_turn": SQL + "SELECT session_id, turn_index, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY total DESC, turn_index) AS rn FROM turns) WHERE rn = 1",
+    "price_rows_used": SQL + "SELECT vendor, model, CAST(from_date AS DATE) AS from_date, count(*) AS n_session_days FROM (SELECT DISTINCT session_id, vendor, model, from_date, day FROM priced WHERE pico IS NOT NULL) GROUP BY ALL",
+    "cheapest_row": SQL + "SELECT vendor, b_model AS cheapest_model, CAST(r_in AS BIGINT) AS r_in, count(*) AS n_units FROM units JOIN cheapest ON vendor = b_vendor GROUP BY ALL",
+    "price_delta": SQL + "SELECT session_id || ':' || turn_index AS session_id, min(vendor) AS vendor, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(least) AS DECIMAL(38,0)) AS cheapest_pico, CAST(sum(pico) - sum(least) AS DECIMAL(38,0)) AS delta_pico FROM repriced GROUP BY repriced.session_id, turn_index HAVING count(DISTINCT vendor) = 1 AND bool_and(pico IS NOT NULL AND NOT write_floor AND NOT read_floor)",
+    "book_faults": SQL + "SELECT v AS vendor, m AS model, CAST(d AS DATE) AS from_date, f AS fault, count(*) AS n_units FROM units JOIN (VALUES ('beta', 'beta-mini', '2024-01-03', 'overlaps the next row'), ('beta', 'beta-mini', '2024-01-20', 'more than one open row'), ('alpha', 'alpha-large', '2024-01-15', 'overlaps the next row'), ('alpha', 'alpha-large', '2024-03-01', 'ends before it begins')) x(v, m, d, f) ON model = m GROUP BY ALL",
+    "usd_floor": SQL + ", d AS (SELECT session_id, turn_index, pico, CASE WHEN pico >= 10000000000 THEN 2 ELSE least(12, 13 - length(CAST(pico AS VARCHAR))) END AS n FROM turns WHERE pico IS NOT NULL), f AS (SELECT *, pico // CAST(pow(10, 12 - n) AS HUGEINT) AS w FROM d) SELECT session_id, turn_index, CASE WHEN pico = 0 THEN '0.00' ELSE CAST(w // CAST(pow(10, n) AS HUGEINT) AS VARCHAR) || '.' || lpad(CAST(w % CAST(pow(10, n) AS HUGEINT) AS VARCHAR), CAST(n AS INT), '0') END AS usd FROM f",
+    "token_formats": SQL + "SELECT session_id, turn_index, CASE WHEN total < 1000 THEN CAST(total AS VARCHAR) WHEN total < 1000000 THEN CAST(total // 1000 AS VARCHAR) || 'k' ELSE CAST(total // 1000000 AS VARCHAR) || 'M' END AS short, CASE WHEN total < 1000 THEN '<1k' WHEN total < 5000 THEN '1k-5k' WHEN total < 20000 THEN '5k-20k' ELSE '20k+' END AS bucket, CASE WHEN cache_read = 0 THEN '0%' WHEN cache_read = total THEN '100%' WHEN 100.0 * cache_read < total THEN '<1%' WHEN 100.0 * cache_read > 99 * total THEN '>99%' ELSE CAST(CAST(round(100 * CAST(cache_read AS DOUBLE) / total) AS INT) AS VARCHAR) || '%' END AS cached FROM turns",
+}

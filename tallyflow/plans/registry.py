@@ -1,8 +1,10 @@
-"""The library's own queries; filled by the modules of this package."""
+"""The library's own queries, from the modules of this package."""
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from tallyflow.plans import branches, cost, patterns, periods
+
+MODULES = (cost, patterns, periods, branches)
 
 
 def queries():

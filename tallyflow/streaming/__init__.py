@@ -1 +1 @@
-
+"""The library's pipelines as streams."""
