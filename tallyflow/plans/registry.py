@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyflow.plans import branches, cost, patterns, periods
+from tallyflow.plans import branches, cost, patterns, periods, transcripts
 
-MODULES = (cost, patterns, periods, branches)
+MODULES = (cost, patterns, periods, branches, transcripts)
 
 
 def queries():
