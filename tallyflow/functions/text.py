@@ -48,16 +48,13 @@ def bucket(c: Column, edges: list[int], names: list[str]) -> Column:
 
 def usd_floor(pico: Column) -> Column:
     """Dollars as text, never rounded up: two decimals, or as many (to 12) as show the first digit that isn't 0."""
-    micro = F.lit(10**12).cast("decimal(38,0)")
+    d = lambda n: F.lit(n).cast("decimal(38,0)")
+    whole_part = lambda x, n: ((x - x % d(n)) / d(n)).cast("decimal(38,0)")  # noqa: E731  exact: a quotient would be rounded
     shown = F.lit("0.00")
     for decimals in range(12, 1, -1):
-        unit = 10 ** (12 - decimals)
-        enough = pico >= F.lit(unit).cast("decimal(38,0)")
-        whole = F.floor(pico / F.lit(unit).cast("decimal(38,0)")).cast("decimal(38,0)")
-        scale = F.lit(10**decimals).cast("decimal(38,0)")
-        text = F.concat(F.floor(whole / scale).cast("decimal(38,0)").cast("string"), F.lit("."), F.lpad((whole % scale).cast("decimal(38,0)").cast("string"), decimals, "0"))
-        shown = F.when(enough, text).otherwise(shown)
-    del micro
+        units = whole_part(pico, 10 ** (12 - decimals))
+        text = F.concat(whole_part(units, 10**decimals).cast("string"), F.lit("."), F.lpad((units % d(10**decimals)).cast("decimal(38,0)").cast("string"), decimals, "0"))
+        shown = F.when(pico >= d(10 ** (12 - decimals)), text).otherwise(shown)
     return F.when(pico.isNotNull(), shown)
 
 

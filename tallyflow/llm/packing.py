@@ -6,6 +6,8 @@ has padding. A document of more than the longest length begins with as many of t
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,28 +15,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import table
-from tallyflow.llm.tokens import Remembered
-
-_encoders: dict[str, Remembered] = {}
-
-
 def piece_lengths(n: int, longest: int) -> list[int]:
     """Lengths that sum to n: ``longest`` as often as it fits, then the rest's powers of two, largest first."""
     rest = n % longest
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _encoder(vocabulary: str) -> Remembered:
-    """The ids of a piece of text without blanks, as little-endian unsigned 32-bit integers; no token crosses a blank."""
-    if vocabulary not in _encoders:
+class TextIds:
+    """The ids of whole texts, as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
+
+    No token crosses a blank, and no merge leaves a word of the library's pattern, so a text is cut at blanks, and what is
+    new among its pieces is cut into words; all new words of a text are encoded in one call. Every word's last
+    token, and no other, has the vocabulary's mark of a word's end, which tells the words' ids apart again; where that
+    count doesn't come out (letters that lower case takes apart), words are encoded one by one. Texts that lower case can't
+    change the tokens of are lowered first, so that fewer pieces differ. Pieces and words are remembered, ``size`` of
+    each and as many older ones at most.
+    """
+
+    def __init__(self, vocabulary: str, size: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(vocabulary).encode
-        _encoders[vocabulary] = Remembered(lambda s: np.array(encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        self.np, self.size = np, size
+        tokenizer = Tokenizer.from_file(vocabulary)
+        self.encode = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4")
+        with open(vocabulary, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        mark = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
+        self.words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def lowered(self, text: str) -> str:
+        low = text.lower()
+        if text.isascii():
+            return text if any(s in text for s in self.special) else low
+        same = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        return low if same and not any(s in text for s in self.special) else text
+
+    def learn(self, missing: set[str]) -> None:
+        parts: dict[str, list[str]] = {}
+        for p in missing:
+            if (known := self.old_pieces.get(p)) is not None:
+                self.pieces[p] = known
+            elif p.isalpha():
+                parts[p] = [p]
+            elif any(s in p for s in self.special):
+                self.pieces[p] = self.encode(p).tobytes()
+            else:
+                parts[p] = self.words_of(p if p.isascii() else unicodedata.normalize("NFC", p))
+        new = []
+        for w in {w for words in parts.values() for w in words if w not in self.words}:
+            if (known := self.old_words.get(w)) is not None:
+                self.words[w] = known
+            else:
+                new.append(w)
+        if new:
+            ids = self.encode(" ".join(new))
+            ends = (self.np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(new) and ends[-1] == len(ids):
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(new, ends):
+                    self.words[w] = raw[4 * start : 4 * end]
+                    start = end
+            else:
+                self.words.update((w, self.encode(w).tobytes()) for w in new)
+        for p, words in parts.items():
+            self.pieces[p] = b"".join(map(self.words.__getitem__, words))
+
+    def __call__(self, text: str) -> bytes:
+        pieces = self.lowered(text).replace("\n", " ").split(" ")
+        if missing := set(pieces).difference(self.pieces):
+            if len(self.pieces) > self.size:
+                self.old_pieces, self.pieces = self.pieces, {}
+                missing = set(pieces)
+            if len(self.words) > self.size:
+                self.old_words, self.words = self.words, {}
+            self.learn(missing)
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+
+_encoders: dict[str, TextIds] = {}
+
+
+def _encoder(vocabulary: str) -> TextIds:
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = TextIds(vocabulary)
     return _encoders[vocabulary]
 
 
@@ -56,7 +131,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048,
             at, starts, lengths, ids, totals = [], [], [], [], []
             held = 0
             for row, t in enumerate(b.column(1).to_pylist()):
-                all_ids = b"".join(map(ids_of.__getitem__, t.replace("\n", " ").split(" "))) + end
+                all_ids = ids_of(t) + end
                 n, start = len(all_ids) // 4, 0
                 for length in piece_lengths(n, longest):
                     at.append(row)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +22,6 @@ def canonical_json(c: Column) -> Column:
     """
     import json
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def sort(values: pd.Series) -> pd.Series:
         def one(v):

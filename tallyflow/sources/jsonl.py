@@ -23,7 +23,7 @@ def list_files(spark: SparkSession, root: str, source: str) -> DataFrame:
 def read_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
     """(file, line_no, line) of all lines that aren't blank. A file is one row on its way to lines, so its lines keep their order."""
     glob, must, must_not = ADAPTERS[source]
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     if must:
         whole = whole.where(F.contains("file", F.lit(must)))
     if must_not:

@@ -20,7 +20,7 @@ def _pico(prefix: str) -> str:
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Rows like ``schema.PRICES``. A file that can't be parsed gives none, so its models stay without prices."""
-    books = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.from_json("value", BOOK).alias("b"))
+    books = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.from_json("value", BOOK).alias("b"))
     rows = books.where("b.vendor is not null").select(F.col("b.vendor").alias("vendor"), F.explode("b.models").alias("model", "m")).select("vendor", "model", F.posexplode("m.price_history").alias("place", "p"))
     tiers = f"transform(coalesce(p.context_tiers, array()), t -> struct(t.above_input_tokens as above, {_pico('t')}))".replace("coalesce(p.context_tiers, array())", "p.context_tiers")
     out = rows.selectExpr("vendor", "model", "p.from_date as from_date", "p.to_date as to_date", *_pico("p").split(", "), f"{tiers} as tiers", "cast(place as bigint) as place")
