@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import table
+from tallyflow.llm.tokens import lowered
+
+
 def piece_lengths(n: int, longest: int) -> list[int]:
     """Lengths that sum to n: ``longest`` as often as it fits, then the rest's powers of two, largest first."""
     rest = n % longest
@@ -72,7 +75,7 @@ class TextIds:
             elif any(s in p for s in self.special):
                 self.pieces[p] = self.encode(p).tobytes()
             else:
-                parts[p] = self.words_of(p if p.isascii() else unicodedata.normalize("NFC", p))
+                parts[p] = self.words_of(lowered(unicodedata.normalize("NFC", p)))
         new = []
         for w in {w for words in parts.values() for w in words if w not in self.words}:
             if (known := self.old_words.get(w)) is not None:

@@ -62,6 +62,11 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+def lowered(s: str) -> str:
+    """Lower case by character: no final form of sigma."""
+    return "".join(c.lower() for c in s) if "Σ" in s else s.lower()
+
+
 def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """How many symbols are left when no adjacent pair has a rank; ties go to the leftmost pair."""
     n = len(symbols)
@@ -113,11 +118,8 @@ def counter(path: str) -> Callable[[str], int]:
 
     word = Remembered(word).__getitem__
 
-    def lower(s: str) -> str:  # by character: no final form of sigma
-        return "".join(c.lower() for c in s) if "Σ" in s else s.lower()
-
     def plain(s: str) -> int:
-        return sum(map(word, in_words(lower(unicodedata.normalize("NFC", s)))))
+        return sum(map(word, in_words(lowered(unicodedata.normalize("NFC", s)))))
 
     def piece(s: str) -> int:
         if at_special and at_special.search(s):

@@ -29,6 +29,8 @@ TRAIN_ROWS = 20_000
 STEMS = (4, 5, 6, 7)
 #: A term must be in so many toxic texts, and in so many times the share of the others'.
 LEAST_TEXTS, LEAST_LIFT = 5, 12.0
+#: Of few toxic texts, this share of them and 3 at least will do.
+LEAST_SHARE = 0.25
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 REPORTING = frozenset("said says say called calls wrote writes quoted quote quoting word words term slur dijo escribió palabra dit mot écrit sagte schrieb wort".split())
@@ -206,7 +208,8 @@ def learn_terms(rows: DataFrame) -> dict[str, tuple[bool, float]]:
         return {}
     lift = (F.col("p") / all_p) / ((F.col("n") + 1) / all_n)
     # the share of a stem's occurrences must stay well above what the others' texts explain
-    good = counts.where((F.col("p") >= LEAST_TEXTS) & (lift >= LEAST_LIFT) & (~F.col("stem") | ((F.col("kinds") >= 5) & (F.col("most") <= 0.6 * F.col("p")) & (F.col("p") >= 2 * LEAST_TEXTS))))
+    least = min(LEAST_TEXTS, max(3, LEAST_SHARE * all_p))
+    good = counts.where((F.col("p") >= least) & (lift >= LEAST_LIFT) & (~F.col("stem") | ((F.col("kinds") >= 5) & (F.col("most") <= 0.6 * F.col("p")) & (F.col("p") >= 2 * LEAST_TEXTS))))
     found = {(r["t"], r["stem"]): float(np.log(r["l"])) for r in good.select("t", "stem", lift.alias("l")).collect()}
     stem_set = {t for t, stem in found if stem}
     stem_set = {t for t in stem_set if not any(t[:k] in stem_set for k in STEMS if k < len(t))}
