@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in a batch for Python. Spark's own default, 10000, is much memory where texts are long.
+BATCH_ROWS = 500
+
+
+def strings(column) -> Iterator[str]:
+    """An Arrow column's values one after the other, so that a batch's texts aren't all Python objects at once."""
+    return (x.as_py() for x in column)
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that share this machine's folders import the package from where it lies."""
+    """Lets Python workers that share this machine's folders import the package from where it lies.
+
+    Where the session leaves the number of rows in an Arrow batch at Spark's default, it becomes ``BATCH_ROWS``.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     if here not in known.get("PYTHONPATH", "").split(os.pathsep):

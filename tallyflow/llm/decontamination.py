@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import table
+from tallyflow.llm.common import strings, table
 from tallyflow.llm.tokens import Remembered
 
 WIDTH = 8
@@ -135,7 +135,7 @@ def windows(texts: DataFrame, key: str, text: str, widths: list[int] | None, kno
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
         for b in batches:
             at, cols = [], [[] for _ in types]
-            for row, t in enumerate(b.column(1).to_pylist()):
+            for row, t in enumerate(strings(b.column(1))):
                 line = _Line(t, code)
                 n = len(line.literal)
                 for width in widths or ([min(WIDTH, n)] if n >= LEAST_TOKENS else []):

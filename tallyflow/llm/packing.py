@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import table
+from tallyflow.llm.common import strings, table
 from tallyflow.llm.tokens import lowered
 
 
@@ -35,7 +35,7 @@ class TextIds:
     each and as many older ones at most.
     """
 
-    def __init__(self, vocabulary: str, size: int = 200_000):
+    def __init__(self, vocabulary: str, size: int = 60_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048,
         for b in batches:
             at, starts, lengths, ids, totals = [], [], [], [], []
             held = 0
-            for row, t in enumerate(b.column(1).to_pylist()):
+            for row, t in enumerate(strings(b.column(1))):
                 all_ids = ids_of(t) + end
                 n, start = len(all_ids) // 4, 0
                 for length in piece_lengths(n, longest):

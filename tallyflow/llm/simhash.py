@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import WORD, components, cut, small_side, table
+from tallyflow.llm.common import WORD, components, cut, small_side, strings, table
 
 BITS, SEGMENT = 64, 2
 _LOW = 0x5555555555555555
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: s
             return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
         for b in batches:
-            found = [fingerprint(t) for t in b.column(1).to_pylist()]
+            found = [fingerprint(t) for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import table
+from tallyflow.llm.common import strings, table
 
 #: Pieces that a worker remembers at most; bounds memory, not results.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class Remembered(dict):
@@ -143,7 +143,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counters.get(vocabulary) or _counters.setdefault(vocabulary, counter(vocabulary))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([count(t) for t in strings(b.column(1))], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), t.alias("text"), F.octet_length(t).cast("long").alias("n_bytes"))
