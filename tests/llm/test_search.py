@@ -148,3 +148,16 @@ def test_planted_passages(spark):
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(1, 0), (2, 0), (4, 3)}
     assert {(r["doc_id"], r["start"], r["stop"], r["other_start"]) for r in rows if r["other_id"] == 0} == {(1, 0, 60, 80), (2, 200, 260, 80)}
     assert passages.near_passages(df.limit(0)).count() == 0
+
+
+def test_passage_whose_least_shingles_an_earlier_document_holds(spark):
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    p = some(50)
+    s = passages.shingles(" ".join(p), {w: passages._word(w) for w in p})
+    seeds = passages._mixed(np.arange(1, passages.HASHES + 1, dtype=np.uint64) * np.uint64(passages._MIX[0] >> 1))
+    least = sorted({int(passages._mixed(s ^ k).argmin()) for k in seeds})
+    phrases = [w for c in least for w in ["zz"] * 60 + p[c : c + passages.SHINGLE] + ["zz"] * 60]
+    texts = [phrases, some(80) + p + some(80), some(30) + p + some(90)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r["doc_id"], r["start"], r["stop"], r["other_id"], r["other_start"]) for r in passages.near_passages(df).collect()} == {(2, 30, 80, 1, 80)}
