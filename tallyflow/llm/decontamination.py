@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Every text becomes two token lines: as it reads (lower case, without punctuation), and as a template, in which numbers,
-names and units after numbers are typed placeholders. Windows of ``WIDTH`` tokens of either line are hash-joined with
+names and units after numbers are typed placeholders. A capitalised word at the start of a sentence may be a name or not, so
+templates are made both ways. Windows of ``WIDTH`` tokens of either line are hash-joined with
 those of the benchmark, so a question turns up again when its numbers and names were swapped. A match of templates
 counts only while its slots are consistent: along one alignment, what fills a slot of the item is always replaced by the
 same filling in the document.
@@ -61,7 +62,7 @@ def _code(chunk: str) -> int:
 
 
 class _Line:
-    """A text's tokens: literal and template hashes, and which are placeholders."""
+    """A text's tokens as three lines of hashes: literal, template, and template whose names may begin a sentence; and which are placeholders."""
 
     def __init__(self, text: str, code) -> None:
         self.chunks = text.replace("\n", " \n ").replace("\t", " ").split(" ")
@@ -77,17 +78,19 @@ class _Line:
         first[1:] = np.diff(ends_before) > 0
         after_number = np.zeros(len(tokens), dtype=bool)
         after_number[1:] = kind[:-1] == NUMBER
-        self.slot = np.where(((kind == NAME) & first) | ((kind == UNIT) & ~after_number), 0, kind)
-        self.template = np.where(self.slot > 0, self.slot.astype(np.uint64), self.literal)
+        wide = np.where((kind == UNIT) & ~after_number, 0, kind)
+        self.slots = np.stack([np.zeros_like(wide), np.where((kind == NAME) & first, 0, wide), wide])
+        self.lines = np.where(self.slots > 0, self.slots.astype(np.uint64), self.literal)
 
-    def windows(self, line: np.ndarray, width: int) -> np.ndarray:
-        n = len(line) - width + 1
+    def windows(self, width: int) -> np.ndarray:
+        """The hashes of the windows of each line."""
+        n = self.lines.shape[1] - width + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.int64)
-        h = np.zeros(n, dtype=np.uint64)
+            return np.zeros((3, 0), dtype=np.int64)
+        h = np.zeros((3, n), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k in range(width):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + line[k : k + n]
+                h = h * np.uint64(0x9E3779B97F4A7C15) + self.lines[:, k : k + n]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
@@ -95,17 +98,16 @@ class _Line:
 
     def rows(self, width: int, keep=None) -> Iterator[tuple[int, int, int, list[str]]]:
         """(form, place, hash, fillings) of windows: form 0 as it reads, form 1 a template with a slot and enough words."""
-        for form, line in enumerate((self.literal, self.template)):
-            h = self.windows(line, width)
-            if keep is not None:
-                places = np.nonzero(keep(h))[0]
-            else:
-                places = np.arange(len(h))
-            for p in places.tolist():
-                slots = np.nonzero(self.slot[p : p + width])[0] if form else ()
-                if form and (len(slots) == 0 or 8 * (width - len(slots)) < LITERAL * width):
-                    continue
-                yield form, p, int(h[p]), [_EDGES.sub("", self.chunks[self.at[p + k]]).lower() for k in slots]
+        hashes = self.windows(width)
+        found = np.ones(hashes.shape, dtype=bool) if keep is None else keep(hashes.ravel()).reshape(hashes.shape)
+        for line, p in zip(*(x.tolist() for x in np.nonzero(found))):
+            here = self.slots[line, p : p + width]
+            slots = np.nonzero(here)[0]
+            if line and (len(slots) == 0 or 8 * (width - len(slots)) < LITERAL * width):
+                continue
+            if line == 2 and (here == self.slots[1, p : p + width]).all():  # the same as the template before
+                continue
+            yield min(line, 1), p, int(hashes[line, p]), [_EDGES.sub("", self.chunks[self.at[p + k]]).lower() for k in slots]
 
 
 def _filter(known: np.ndarray):

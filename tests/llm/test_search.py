@@ -95,6 +95,12 @@ def test_templates_and_slots(spark, monkeypatch):
     assert leaked(spark, *texts, items=()) == set()
 
 
+def test_names_that_begin_sentences(spark):
+    items = ("Tom has 12 apples and gives 3 to Anna. Mary buys 5 kg of pears each week. How much does Tom pay?", "James runs 3 sprints a day. Anna runs 5 miles a day. Tom runs 7 miles a week. Who runs most?")
+    texts = ["Bob has 15 apples and gives 4 to Zoe. Lucy buys 7 kg of pears each week. How much does Bob pay?", "Well: Peter runs 4 sprints a day. Lucy runs 6 miles a day. Bob runs 9 miles a week. Who runs most?", "Bob has 15 apples and gives 4 to Zoe. Peter runs far."]
+    assert leaked(spark, *texts, items=items) == {(0, 0), (1, 1)}
+
+
 def test_leaks_against_brute_force(spark, data):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     grams = lambda t: {tuple(w[i : i + 8]) for w in [t.lower().split()] for i in range(len(w) - 7)}
