@@ -5,7 +5,8 @@ names and units after numbers are typed placeholders. A capitalised word at the
 templates are made both ways. Windows of ``WIDTH`` tokens of either line are hash-joined with
 those of the benchmark, so a question turns up again when its numbers and names were swapped. A match of templates
 counts only while its slots are consistent: along one alignment, what fills a slot of the item is always replaced by the
-same filling in the document.
+same filling in the document. One number may stand in two roles, so a number replaced by several is accepted where names and
+units agree. Templates with few words count beside windows that match by themselves, or as the whole item.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import strings, table
@@ -27,6 +29,8 @@ WIDTH = 8
 LEAST_TOKENS = 5
 #: A template window needs so many tokens that aren't placeholders, in eighths of its width.
 LITERAL = 4
+#: A template with fewer, but so many, counts only along an alignment in which another window matches, or as the whole item.
+FEW = 2
 #: An item is leaked to a document that holds this share of its windows.
 COVERAGE = 0.5
 #: Windows of the benchmark whose hashes are handed to the tasks as a filter at most (8 bytes each); beyond, none is.
@@ -96,18 +100,45 @@ class _Line:
             h ^= h >> np.uint64(32)
         return h.view(np.int64)
 
-    def rows(self, width: int, keep=None) -> Iterator[tuple[int, int, int, list[str]]]:
-        """(form, place, hash, fillings) of windows: form 0 as it reads, form 1 a template with a slot and enough words."""
+    def rows(self, width: int, keep=None, whole: bool = False) -> Iterator[tuple[int, int, int, list[str]]]:
+        """(form, place, hash, fillings) of windows: form 0 as it reads, 1 a template with a slot and enough words, 2 one with few.
+
+        With ``whole``, form 3 are templates of either kind, to be compared with whole items. A filling begins with its kind.
+        """
         hashes = self.windows(width)
         found = np.ones(hashes.shape, dtype=bool) if keep is None else keep(hashes.ravel()).reshape(hashes.shape)
         for line, p in zip(*(x.tolist() for x in np.nonzero(found))):
             here = self.slots[line, p : p + width]
             slots = np.nonzero(here)[0]
-            if line and (len(slots) == 0 or 8 * (width - len(slots)) < LITERAL * width):
+            if line and (len(slots) == 0 or width - len(slots) < FEW):
                 continue
             if line == 2 and (here == self.slots[1, p : p + width]).all():  # the same as the template before
                 continue
-            yield min(line, 1), p, int(hashes[line, p]), [_EDGES.sub("", self.chunks[self.at[p + k]]).lower() for k in slots]
+            fills = [f"{here[k]}:{_EDGES.sub('', self.chunks[self.at[p + k]]).lower()}" for k in slots]
+            yield 0 if not line else 1 if 8 * (width - len(slots)) >= LITERAL * width else 2, p, int(hashes[line, p]), fills
+            if line and whole:
+                yield 3, p, int(hashes[line, p]), fills
+
+    def item_rows(self) -> Iterator[tuple[int, int, int, int, list[str]]]:
+        """(width, form, place, hash, fillings) of an item's windows.
+
+        Places whose template has too few words to match are left out, unless all are like that. An item without a window
+        that can match by itself once its slots change has its whole template too.
+        """
+        n = len(self.literal)
+        if n < LEAST_TOKENS:
+            return
+        width = min(WIDTH, n)
+        rows = list(self.rows(width))
+        slotted = np.convolve(self.slots[1] > 0, np.ones(width, dtype=int), "valid")
+        able = (slotted == 0) | (width - slotted >= FEW)
+        for form, p, h, fills in rows:
+            if able[p] or not able.any():
+                yield width, form, p, h, fills
+        if (self.slots[2] > 0).any() and not any(r[0] == 1 for r in rows):
+            for form, p, h, fills in self.rows(n, whole=True):
+                if form == 3:
+                    yield n, form, p, h, fills
 
 
 def _filter(known: np.ndarray):
@@ -125,10 +156,11 @@ def _filter(known: np.ndarray):
     return keep
 
 
-def windows(texts: DataFrame, key: str, text: str, widths: list[int] | None, known: np.ndarray | None = None) -> DataFrame:
+def windows(texts: DataFrame, key: str, text: str, widths: list[int] | None, known: np.ndarray | None = None, whole: frozenset = frozenset()) -> DataFrame:
     """(key, width, form, place, hash, fills, tokens) of the windows of each text, those with a known hash if given.
 
-    Without ``widths``, a text has windows of ``WIDTH`` tokens, or of all its tokens if they are fewer.
+    Without ``widths``, a text is an item and has windows of ``WIDTH`` tokens, or of all its tokens if they are fewer.
+    ``whole`` are the widths of items to be compared as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +172,11 @@ def windows(texts: DataFrame, key: str, text: str, widths: list[int] | None, kno
             for row, t in enumerate(strings(b.column(1))):
                 line = _Line(t, code)
                 n = len(line.literal)
-                for width in widths or ([min(WIDTH, n)] if n >= LEAST_TOKENS else []):
-                    for form, place, h, fills in line.rows(width, keep):
-                        at.append(row)
-                        for c, v in zip(cols, (width, form, place, h, fills, n)):
-                            c.append(v)
+                found = line.item_rows() if widths is None else ((w, *r) for w in widths for r in line.rows(w, keep, w in whole))
+                for width, form, place, h, fills in found:
+                    at.append(row)
+                    for c, v in zip(cols, (width, form, place, h, fills, n)):
+                        c.append(v)
                 if len(at) > 50_000:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *map(pa.array, cols, types)], names)
                     at, cols = [], [[] for _ in types]
@@ -157,7 +189,7 @@ def windows(texts: DataFrame, key: str, text: str, widths: list[int] | None, kno
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, n_literal, n_swapped): one row for each item leaked to a document.
 
-    ``n_windows`` counts the item's windows by place, ``n_matched`` those found in the document, as they read or as a
+    ``n_windows`` counts the item's windows by place, where a literal or a template can match, ``n_matched`` those found in the document, as they read or as a
     template with consistent slots; ``n_literal`` counts the former; ``n_swapped`` the fillings that differ. Texts are searched whole. Null and empty texts hold nothing; items
     of fewer than ``LEAST_TOKENS`` tokens are never found. Repeated documents or items of one id count as one.
 
@@ -165,23 +197,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, key
     windows that can match are shuffled; a larger benchmark is joined without the filter, by the hash alone.
     """
     asked = windows(benchmark, item, item_text, None).withColumnsRenamed({"key": "item_id", "place": "item_place", "fills": "item_fills"}).drop("tokens").distinct()
-    size = asked.agg(F.countDistinct("hash").alias("n"), F.collect_set("width").alias("w")).first()
+    size = asked.agg(F.countDistinct("hash").alias("n"), F.collect_set("width").alias("w"), F.collect_set(F.when(F.col("form") == 3, F.col("width"))).alias("whole")).first()
     known = None
     if size["n"] <= MOST_KNOWN:
         known = np.sort(np.array([r[0] for r in asked.select("hash").distinct().collect()], dtype=np.int64))
-    found = windows(docs, key, text, sorted(size["w"]) or [WIDTH], known).withColumnRenamed("key", "doc_id").drop("tokens").distinct()
+    found = windows(docs, key, text, sorted(size["w"]) or [WIDTH], known, frozenset(size["whole"])).withColumnRenamed("key", "doc_id").drop("tokens").distinct()
     pairs = found.join(asked, ["hash", "width", "form"]).withColumn("shift", F.col("place") - F.col("item_place"))
     fills = F.filter(F.arrays_zip("item_fills", "fills"), lambda x: x["item_fills"].isNotNull())
     slots = pairs.select("doc_id", "item_id", "shift", F.explode(F.transform(fills, lambda x: F.struct(x["item_fills"].alias("was"), x["fills"].alias("now")))).alias("s"))
     per_slot = slots.groupBy("doc_id", "item_id", "shift", "s.was").agg(F.min("s.now").alias("least"), F.max("s.now").alias("most"))
-    bad = per_slot.groupBy("doc_id", "item_id", "shift").agg(F.max(F.col("least") != F.col("most")).alias("mixed"), F.sum((F.col("least") != F.col("was")).cast("long")).alias("swapped"))
+    per_slot = per_slot.withColumn("mixed", F.col("least") != F.col("most"))
+    bad = per_slot.groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set(F.when(F.col("mixed"), F.col("was"))).alias("mixed"), F.max(F.col("mixed") & ~F.col("was").startswith(f"{NUMBER}:")).alias("worse"), F.sum((F.col("mixed") | (F.col("least") != F.col("was"))).cast("long")).alias("swapped"),
+    )
     at = [F.col("doc_id").eqNullSafe(F.col("b_doc")), F.col("item_id").eqNullSafe(F.col("b_item")), F.col("shift") == F.col("b_shift")]
-    bad = bad.select(F.col("doc_id").alias("b_doc"), F.col("item_id").alias("b_item"), F.col("shift").alias("b_shift"), "mixed", "swapped")
-    good = pairs.join(bad, at, "left").where((F.col("form") == 0) | ~F.coalesce("mixed", F.lit(False)))
-    counted = good.groupBy("doc_id", "item_id", "item_place").agg(F.min("form").alias("form"), F.max(F.coalesce("swapped", F.lit(0))).alias("swapped"))
-    counted = counted.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.sum((F.col("form") == 0).cast("long")).alias("n_literal"), F.max("swapped").alias("n_swapped"))
-    sizes = asked.groupBy(F.col("item_id").alias("a_item")).agg(F.countDistinct("item_place").alias("n_windows"))
-    out = counted.join(sizes, F.col("item_id").eqNullSafe(F.col("a_item"))).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    bad = bad.select(F.col("doc_id").alias("b_doc"), F.col("item_id").alias("b_item"), F.col("shift").alias("b_shift"), "mixed", "worse", "swapped")
+    good = pairs.join(bad, at, "left").where((F.col("form") == 0) | ~(F.coalesce("worse", F.lit(False)) & F.coalesce(F.arrays_overlap("item_fills", "mixed"), F.lit(False))))
+    counted = good.groupBy("doc_id", "item_id", "shift", "item_place").agg(F.min("form").alias("form"), F.max(F.coalesce("swapped", F.lit(0))).alias("swapped"), F.max(F.col("form") == 3).alias("whole"))
+    counted = counted.withColumn("least", F.min("form").over(W.partitionBy("doc_id", "item_id", "shift"))).withColumn("whole", F.max("whole").over(W.partitionBy("doc_id", "item_id", "shift"))).where((F.col("least") < 2) | F.col("whole"))
+    counted = counted.groupBy("doc_id", "item_id", "item_place").agg(F.min("form").alias("form"), F.max("swapped").alias("swapped"), F.max("whole").alias("whole"))
+    counted = counted.groupBy("doc_id", "item_id").agg(F.sum((F.col("form") < 3).cast("long")).alias("n_matched"), F.sum((F.col("form") == 0).cast("long")).alias("n_literal"), F.max("swapped").alias("n_swapped"), F.max("whole").alias("whole"))
+    sizes = asked.groupBy(F.col("item_id").alias("a_item")).agg(F.countDistinct(F.when(F.col("form") == 0, F.col("item_place"))).alias("n_windows"))
+    out = counted.join(sizes, F.col("item_id").eqNullSafe(F.col("a_item"))).withColumn("n_matched", F.when(F.col("whole"), F.col("n_windows")).otherwise(F.col("n_matched"))).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_literal", "n_swapped")
 
 

@@ -101,6 +101,12 @@ def test_names_that_begin_sentences(spark):
     assert leaked(spark, *texts, items=items) == {(0, 0), (1, 1)}
 
 
+def test_numbers_in_two_roles_and_dense_items(spark):
+    items = ("Each of the pupils buys 3 pens for 3 dollars and then walks home", "Add 3, 4, 5, 6 and 7", "please add 3, 4, 5, 6, 7, 8 and 9 then add 1, 2, 3 and 4 to what you have found")
+    texts = ["Each of the pupils buys 5 pens for 8 dollars and then walks home", "Add 1, 9, 2, 8 and 11", "please add 13, 14, 15, 16, 17, 18 and 19 then add 2, 4, 6 and 8 to what you have found", "1 2 3 4 5 6 7 8 and 9 or 10"]
+    assert leaked(spark, *texts, items=items) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_leaks_against_brute_force(spark, data):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     grams = lambda t: {tuple(w[i : i + 8]) for w in [t.lower().split()] for i in range(len(w) - 7)}
