@@ -3,8 +3,9 @@
 A page is read into a tree. Every node gets its text density: characters per tag, adjusted by the share of characters and
 tags that belong to links. A node's density sum adds up the densities of its children; the node of the largest sum holds the
 article. The least density on the path from it up to the body is the threshold: what lies inside the node is the
-article, and outside of it subtrees at or above the threshold are too. Menus, forms, adverts and the like are taken off the
-tree first, by their elements, roles and class names.
+article, and outside of it subtrees at or above the threshold are too. Menus, adverts and the like are taken off the
+tree first, by their elements, roles and class names. Class names and forms are only signs, for they also stand on what wraps a
+page: what holds an article element stays, and so does what holds nearly all text.
 """
 
 from __future__ import annotations
@@ -31,37 +32,44 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("caption dd dt tbody td tfoot th thead tr option optgroup legend body html".split()) | {"dd", "dt"}
 #: An element that an opening one of the same group ends, unless one of the barriers stands between.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROPPED = frozenset("head nav footer aside form button select datalist menu dialog noscript template svg math canvas audio video object applet".split()) | RAW
+DROPPED = frozenset("head nav footer aside button select datalist menu dialog noscript template svg math canvas audio video object applet".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist tooltip status".split())
 #: Class and id names of what isn't the article.
 _NOISE = re.compile(
-    r"(?:.*[-_])?(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-?nav|menu|nav|navbar|navigation|breadcrumbs?|footer|site-?header|page-?header|masthead|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|comments?|comment-?list|respond|replies|reply|disqus|widget|pagination|pager|skip-?link)(?:[-_](?:box|bar|block|area|section|list|slot|unit|wrapper|container|inner|top|bottom|left|right|\d+))*",
+    r"(?!(?:.*[-_])?(?:has|with|no|without|layout)[-_])(.*[-_])?(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-?nav|menu|nav|navbar|navigation|breadcrumbs?|footer|site-?header|page-?header|masthead|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|comments?|comment-?list|respond|replies|reply|disqus|widget|pagination|pager|skip-?link)(?:[-_](?:box|bar|block|area|section|list|slot|unit|wrapper|container|inner|top|bottom|left|right|\d+))*",
     re.I,
 )
 _NEVER_NOISE = frozenset(("html", "body", "article", "main"))
+_HARD, _NAMED, _VAGUE = 1, 2, 3
+#: A form, or an element of a vague name, wraps the page if all other text is less than this share of its own.
+_REST = 0.1
 
 
 class _Node:
-    __slots__ = ("parent", "tag", "kids", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept")
+    __slots__ = ("parent", "tag", "kids", "off", "sign", "chars", "tags", "link_chars", "link_tags", "density", "total", "kept")
 
-    def __init__(self, parent, tag: str, off: bool):
-        self.parent, self.tag, self.off, self.kids = parent, tag, off, []
+    def __init__(self, parent, tag: str, off: bool, sign: int = 0):
+        self.parent, self.tag, self.off, self.sign, self.kids = parent, tag, off, sign, []
         self.chars = self.link_chars = self.link_tags = 0
         self.tags, self.density, self.total, self.kept = 1, 0.0, 0.0, False
 
 
-def _is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def _noise(tag: str, attributes: str, inside_article: bool) -> int:
+    """0, or what tells that an element isn't of the article: its kind, its name, or a form or a name with something before it."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return _HARD
+    sign = _VAGUE if tag == "form" else 0
     if not attributes or tag in _NEVER_NOISE:
-        return False
+        return sign
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and any(_NOISE.fullmatch(x) for x in value.split()):
-            return True
-    return False
+            return _HARD
+        if name in ("class", "id"):
+            for x in value.split():
+                if found := _NOISE.fullmatch(x):
+                    sign = _NAMED if not found[1] or sign == _NAMED else _VAGUE
+    return sign if not sign or tag in BLOCK else _HARD
 
 
 def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
@@ -137,7 +145,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             shut = page.find(">", end)
             at = len(page) if shut < 0 else shut + 1
             continue
-        node = _Node(stack[-1], tag, stack[-1].off or _is_noise(tag, attributes, articles > 0))
+        sign = 0 if stack[-1].off else _noise(tag, attributes, articles > 0)
+        node = _Node(stack[-1], tag, stack[-1].off or sign == _HARD, sign)
         if tag not in BLOCK and node.off and not stack[-1].off and held:
             held.append(" ")
         if not node.off:
@@ -151,7 +160,34 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     if at < len(page) and not stack[-1].off:
         add(page[at:])
     flush()
-    return nodes, blocks
+    return _without_noise(nodes, blocks) if any(n.sign for n in nodes) else (nodes, blocks)
+
+
+def _without_noise(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> tuple[list[_Node], list[tuple[_Node, str]]]:
+    """The page without elements that have a sign of noise, but for those that wrap the page's text."""
+    plain = {id(n): -n.link_chars for n in nodes}
+    for node, text in blocks:
+        plain[id(node)] += len(text)
+    owner: dict[int, _Node | None] = {}  # the innermost element with a sign around each
+    own: dict[int, int] = {}
+    whole, holds = dict(plain), {id(n): n.tag in ("article", "main") for n in nodes}
+    for node in nodes:
+        owner[id(node)] = node if node.sign else node.parent and owner[id(node.parent)]
+        own[id(owner[id(node)])] = own.get(id(owner[id(node)]), 0) + plain[id(node)]
+    for node in reversed(nodes):
+        if node.parent is not None:
+            whole[id(node.parent)] += whole[id(node)]
+            holds[id(node.parent)] |= holds[id(node)]
+    rest = own.get(id(None), 0)
+    for node in nodes:
+        if node.parent is not None and node.parent.off:
+            node.off = True
+        elif node.sign:
+            node.off = not holds[id(node)] and not (node.sign == _VAGUE and rest < _REST * whole[id(node)])
+            rest += 0 if node.off else own[id(node)]
+    for node in nodes:
+        node.kids = [k for k in node.kids if not k.off]
+    return [n for n in nodes if not n.off], [(n, t) for n, t in blocks if not n.off]
 
 
 def _measure(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> None:

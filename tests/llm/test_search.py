@@ -67,6 +67,14 @@ def test_main_text(page, want):
     assert html_text.main_text(page or "") == want
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='layout-no-comments site-no-ads'", "div class='content-sidebar'", "div id=page class='with-sidebar wide'", "form method=post action='./page.aspx'"])
+def test_wrappers_of_the_page_are_no_noise(wrapper):
+    text = "A long enough paragraph of the article itself, with words."
+    around = "<body><nav><a href=/>Home</a></nav><%s>%s<div class='sidebar'><p>Other things.</p></div><form><p>Your name</p></form><div class=post-comments><p>me too</p></div></%s><footer>f</footer></body>"
+    for inner in (f"<div class=post><p>{text}</p><p>{text}</p></div>", f"<article><p>{text}</p><p>{text}</p></article>"):
+        assert html_text.main_text(around % (wrapper, inner, wrapper.split()[0])) == f"{text}\n{text}"
+
+
 def test_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     rows = {r["page_id"]: r for r in html_text.extract(pages).collect()}
