@@ -77,7 +77,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     split = base.select("doc_id", t.alias("t"), F.expr("regexp_extract_all(coalesce(_t, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)").alias("w"))
     t = F.col("t")
     bare = F.translate(t, SPACE, "")
-    lines = F.expr("transform(array(filter(split(t, '\\n'), x -> length(translate(x, ' \\t\\u000b\\f\\r', '')) > 0)), l -> struct(size(l) as n, size(l) - size(array_distinct(l)) as d))[0]")
+    lines = F.expr("transform(array(filter(split(t, '\\n'), x -> length(translate(x, ' \\t\\u000b\\u000c\\r', '')) > 0)), l -> struct(size(l) as n, size(l) - size(array_distinct(l)) as d))[0]")
     measured = split.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), F.length(bare).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("l"),

@@ -141,3 +141,10 @@ def test_added_kinds_and_redaction(spark):
 def test_operators_need_no_order_of_columns(spark):
     df = spark.createDataFrame([("t1", 5)], "body string, id long")
     assert tokens.count_tokens(df, VOCABULARY, key="id", text="body").first()["doc_id"] == 5
+
+
+def test_lines_of_form_feeds_and_of_the_letter_f(spark):
+    texts = ["f\nff\nf\nx", "\f\n\f\n\f\r\nx\nx", "a\fb\n\x0b\n\t \f"]
+    got = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    lines = [[x for x in t.split("\n") if WORDS.search(x)] for t in texts]
+    assert [(r["n_lines"], r["n_dup_lines"]) for r in got] == [(len(x), len(x) - len(set(x))) for x in lines] == [(4, 1), (2, 1), (1, 0)]
