@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,23 +169,25 @@ def codex_units(lines: DataFrame) -> DataFrame:
 def pair_compactions(rows: DataFrame, within_ms: int = 5000) -> DataFrame:
     """One event for two markers of opposite forms before the same turn and within five seconds; (file, turn_index, ts_ms).
 
-    ``rows`` has file, line_no, form, turn_index, ts_ms. Pairing depends on what was paired before, so it runs over each
-    file's markers, of which there are few.
+    ``rows`` has file, line_no, form, turn_index, ts_ms. Pairing depends on what was paired before, so a file's markers
+    stream through one task in order; it holds one marker at a time.
     """
-    import pandas as pd
+    names = ["file", "turn_index", "ts_ms"]
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], None
-        for r in pdf.sort_values("line_no").itertuples():
-            near = before is not None and before.turn_index == r.turn_index and before.form != r.form and (pd.isna(r.ts_ms) or pd.isna(before.ts_ms) or abs(r.ts_ms - before.ts_ms) <= within_ms)
-            if near:
-                before = None
-                continue
-            out.append((r.file, r.turn_index, r.ts_ms))
-            before = r
-        return pd.DataFrame(out, columns=["file", "turn_index", "ts_ms"]).astype({"ts_ms": "Int64"})
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            out = []
+            for file, form, turn, ts in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if before is not None and before[0] == file and before[2] == turn and before[1] != form and (ts is None or before[3] is None or abs(ts - before[3]) <= within_ms):
+                    before = None
+                    continue
+                out.append((file, turn, ts))
+                before = (file, form, turn, ts)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names)
 
-    return rows.groupBy("file").applyInPandas(pair, "file string, turn_index long, ts_ms long")
+    ordered = rows.repartition("file").sortWithinPartitions("file", F.asc_nulls_last("line_no"))
+    return ordered.select("file", "form", "turn_index", "ts_ms").mapInArrow(pair, "file string, turn_index long, ts_ms long")
 
 
 # -- rewinds and checkpoints ----------------------------------------------------------------------------------
@@ -194,34 +197,51 @@ def replay(lines: DataFrame) -> DataFrame:
     """The messages that are left of a log with rewinds and checkpoints: (file, place, id, message).
 
     A message of a known id replaces the earlier one in its place. ``$rewindTo`` drops that message and all after it;
-    ``$set.messages`` replaces all. Every step depends on the state before it, so a file's lines are replayed in order in
-    one task; a file is what one session wrote.
+    ``$set.messages`` replaces all. Every step depends on the state before it, so a file's lines stream through one task
+    in order; it holds the messages that are left of one file.
     """
     import json
 
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, str] = {}
-        for line in pdf.sort_values("line_no")["line"]:
-            try:
-                r = json.loads(line)
-            except ValueError:
-                continue
-            if not isinstance(r, dict):
-                continue
-            if "$rewindTo" in r:
-                ids = list(kept)
-                if r["$rewindTo"] in kept:
-                    for gone in ids[ids.index(r["$rewindTo"]) :]:
-                        del kept[gone]
-            elif isinstance(r.get("$set"), dict) and isinstance(r["$set"].get("messages"), list):
-                kept = {m["id"]: json.dumps(m) for m in r["$set"]["messages"] if isinstance(m, dict) and isinstance(m.get("id"), str)}
-            elif isinstance(r.get("id"), str):
-                kept[r["id"]] = line
-        return pd.DataFrame([(pdf["file"].iloc[0], i, k, v) for i, (k, v) in enumerate(kept.items())], columns=["file", "place", "id", "message"])
-
-    return lines.select("file", "line_no", "line").groupBy("file").applyInPandas(run, "file string, place long, id string, message string")
+    def step(kept: dict[str, str], line: str) -> dict[str, str]:
+        try:
+            r = json.loads(line)
+        except ValueError:
+            return kept
+        if not isinstance(r, dict):
+            return kept
+        if "$rewindTo" in r:
+            ids = list(kept)
+            if r["$rewindTo"] in kept:
+                for gone in ids[ids.index(r["$rewindTo"]) :]:
+                    del kept[gone]
+        elif isinstance(r.get("$set"), dict) and isinstance(r["$set"].get("messages"), list):
+            return {m["id"]: json.dumps(m) for m in r["$set"]["messages"] if isinstance(m, dict) and isinstance(m.get("id"), str)}
+        elif isinstance(r.get("id"), str):
+            kept[r["id"]] = line
+        return kept
+
+    def left(file: str | None, kept: dict[str, str]) -> Iterator[pa.RecordBatch]:
+        some = []
+        for i, (k, v) in enumerate(kept.items()):
+            some.append((file, i, k, v))
+            if len(some) == 1000 or i == len(kept) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in some], t) for j, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["file", "place", "id", "message"])
+                some = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, kept = None, {}
+        for b in batches:
+            for f, line in zip(b.column(0).to_pylist(), b.column(1)):
+                if f != file:
+                    yield from left(file, kept)
+                    file, kept = f, {}
+                line = line.as_py()
+                if line is not None:
+                    kept = step(kept, line)
+        yield from left(file, kept)
+
+    ordered = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", F.asc_nulls_last("line_no"))
+    return ordered.select("file", "line").mapInArrow(run, "file string, place long, id string, message string")
 
 
 def gemini_turns(lines: DataFrame) -> DataFrame:

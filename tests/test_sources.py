@@ -168,3 +168,21 @@ def test_reconcile(spark, session, items, state):
     side = lambda x: spark.createDataFrame([("s", *x)], "session_id string, input long, output long")
     r = N.reconcile_aggregate(side(session), side(items), ("input", "output")).first()
     assert r["state"] == state and r["rest_input"] == (1 if state == "residual" else 0)
+
+
+def test_sessions_stream_in_order(spark):
+    """A session longer than a batch, with others beside it, and no group of all its rows."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        log = spark.range(300).selectExpr("concat('f', cast(id % 3 as string)) file", "299 - id line_no", "if(id = 0, '{\"$rewindTo\": \"m98\"}', concat('{\"id\": \"m', cast((299 - id) div 3 as string), '\"}')) line")
+        left = N.replay(log)
+        got = {(r["file"], r["place"], r["id"]) for r in left.collect()}
+        assert got == {(f"f{f}", k, f"m{k}") for f in range(3) for k in range(98 if f == 0 else 100)}
+        marks = spark.range(300).selectExpr("concat('f', cast(id % 3 as string)) file", "299 - id line_no", "if(id div 3 % 2 = 0, 'a', 'b') form", "0L turn_index", "id ts_ms")
+        events = N.pair_compactions(marks)
+        assert sorted(r["ts_ms"] for r in events.collect()) == [k for k in range(300) if k // 3 % 2 == 1]
+        for df in (left, events):
+            assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
