@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows in a batch for Python. Spark's own default, 10000, is much memory where texts are long.
-BATCH_ROWS = 500
+#: Bytes of text that an operator in Python takes up at once. A batch of long texts is cut, so memory follows this and the longest text.
+SLICE = 1 << 22
 
 
 def strings(column) -> Iterator[str]:
@@ -22,13 +27,29 @@ def strings(column) -> Iterator[str]:
     return (x.as_py() for x in column)
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that share this machine's folders import the package from where it lies.
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into runs of rows whose texts in ``column`` have ``most`` bytes or are one text. No empty ones."""
+    for b in batches:
+        ends, at = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def coded(pieces: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct, codes, starts) of a slice's texts cut into pieces: piece i is ``distinct[codes[i]]``, text k's are those
+    from ``starts[k]`` to ``starts[k + 1]``.
 
-    Where the session leaves the number of rows in an Arrow batch at Spark's default, it becomes ``BATCH_ROWS``.
+    What a piece stands for is so worked out once a slice, and gathered by integers; no piece in the text is a Python object.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    found = pieces.flatten().dictionary_encode()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), starts
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers that share this machine's folders import the package from where it lies."""
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     if here not in known.get("PYTHONPATH", "").split(os.pathsep):
@@ -36,6 +57,16 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. A local session that names none gets one of its machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "tallyflow-checkpoints")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,14 +82,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the session names no such folder (in tests), one is made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tallyflow-checkpoints"))
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -107,8 +133,6 @@ def numbered(df: DataFrame, group: list[str], keys: list[str], salts: int, name:
     cols = [*group, *keys]
     each = df.select(*cols, F.pmod(F.xxhash64(*keys), F.lit(salts)).alias("_salt")).groupBy("_salt", *cols).agg(F.count("*").alias("_n"))
     per = each.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_salt").alias("_s")).agg(F.sum("_n").alias("_rows"))
-    from pyspark.sql import Window as W
-
     gs = [f"_g{i}" for i in range(len(group))]
     starts = per.select(*gs, "_s", (F.sum("_rows").over(W.partitionBy(*gs).orderBy("_s")) - F.col("_rows")).alias("_start"))
     inside = W.partitionBy(*group, "_salt").orderBy(*keys)

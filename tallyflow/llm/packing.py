@@ -7,15 +7,17 @@ has padding. A document of more than the longest length begins with as many of t
 from __future__ import annotations
 
 import json
-import unicodedata
+import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import strings, table
-from tallyflow.llm.tokens import lowered
+from tallyflow.llm.common import coded, slices, table
+from tallyflow.llm.tokens import Remembered, at_blanks, byte_symbols, word_splitter
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -25,95 +27,55 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 
 class TextIds:
-    """The ids of whole texts, as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
-
-    No token crosses a blank, and no merge leaves a word of the library's pattern, so a text is cut at blanks, and what is
-    new among its pieces is cut into words; all new words of a text are encoded in one call. Every word's last
-    token, and no other, has the vocabulary's mark of a word's end, which tells the words' ids apart again; where that
-    count doesn't come out (letters that lower case takes apart), words are encoded one by one. Texts that lower case can't
-    change the tokens of are lowered first, so that fewer pieces differ. Pieces and words are remembered, ``size`` of
-    each and as many older ones at most.
+    """The ids of whole texts, as the tokenizers library gives them.
+
+    No token crosses a blank, and no merge leaves a word of the library's pattern, so the distinct pieces between blanks of a
+    slice of texts are cut into words, and the library's model encodes each new word once. Pieces and words are remembered
+    in caches of bounded size. Pieces with special strings go to the library whole.
     """
 
-    def __init__(self, vocabulary: str, size: int = 60_000):
+    def __init__(self, vocabulary: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
-        import regex
         from tokenizers import Tokenizer
 
-        self.np, self.size = np, size
         tokenizer = Tokenizer.from_file(vocabulary)
-        self.encode = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4")
         with open(vocabulary, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        mark = spec["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-        self.ends[[i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
-        self.words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-
-    def lowered(self, text: str) -> str:
-        low = text.lower()
-        if text.isascii():
-            return text if any(s in text for s in self.special) else low
-        same = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-        return low if same and not any(s in text for s in self.special) else text
-
-    def learn(self, missing: set[str]) -> None:
-        parts: dict[str, list[str]] = {}
-        for p in missing:
-            if (known := self.old_pieces.get(p)) is not None:
-                self.pieces[p] = known
-            elif p.isalpha():
-                parts[p] = [p]
-            elif any(s in p for s in self.special):
-                self.pieces[p] = self.encode(p).tobytes()
-            else:
-                parts[p] = self.words_of(lowered(unicodedata.normalize("NFC", p)))
-        new = []
-        for w in {w for words in parts.values() for w in words if w not in self.words}:
-            if (known := self.old_words.get(w)) is not None:
-                self.words[w] = known
-            else:
-                new.append(w)
-        if new:
-            ids = self.encode(" ".join(new))
-            ends = (self.np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(new) and ends[-1] == len(ids):
-                raw, start = ids.tobytes(), 0
-                for w, end in zip(new, ends):
-                    self.words[w] = raw[4 * start : 4 * end]
-                    start = end
-            else:
-                self.words.update((w, self.encode(w).tobytes()) for w in new)
-        for p, words in parts.items():
-            self.pieces[p] = b"".join(map(self.words.__getitem__, words))
-
-    def __call__(self, text: str) -> bytes:
-        pieces = self.lowered(text).replace("\n", " ").split(" ")
-        if missing := set(pieces).difference(self.pieces):
-            if len(self.pieces) > self.size:
-                self.old_pieces, self.pieces = self.pieces, {}
-                missing = set(pieces)
-            if len(self.words) > self.size:
-                self.old_words, self.words = self.words, {}
-            self.learn(missing)
-        return b"".join(map(self.pieces.__getitem__, pieces))
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        encode, stand_in, words_in = tokenizer.model.tokenize, dict(enumerate(byte_symbols())), word_splitter()
 
+        def word(w: str) -> bytes:
+            symbols = w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(stand_in)
+            return _little([t.id for t in encode(symbols)])
 
-_encoders: dict[str, TextIds] = {}
+        word = Remembered(word).__getitem__
+
+        def piece(p: str) -> bytes:
+            if not p.isalnum() and any(s in p for s in special):
+                return _little(tokenizer.encode(p, add_special_tokens=False).ids)
+            words = words_in(p)
+            return word(words[0]) if len(words) == 1 else b"".join(map(word, words))
+
+        self.piece = Remembered(piece).__getitem__
 
+    def __call__(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one text after the other with ``end`` after each, and where each text's begin."""
+        distinct, codes, starts = coded(at_blanks(texts))
+        known = [*map(self.piece, distinct), end]
+        codes = np.insert(codes.astype(np.int64), starts[1:], len(distinct))
+        n = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        long, first = n[codes], (np.cumsum(n) - n)[codes]
+        ends = np.cumsum(long)
+        at = np.arange(ends[-1]) + np.repeat(first - (ends - long), long)
+        return np.frombuffer(b"".join(known), dtype="<u4")[at], np.concatenate([[0], ends])[starts + np.arange(len(starts))]
 
-def _encoder(vocabulary: str) -> TextIds:
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = TextIds(vocabulary)
-    return _encoders[vocabulary]
+
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_encoders: dict[str, TextIds] = {}
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,37 +84,26 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048,
     ``bucket`` is log2 of the length; ``write.partitionBy("bucket")`` gives files of equal lengths. ``sequence_id`` comes
     from the partition and the place in it, so no shuffle is needed, and a task that runs again gives the same ids as long
     as its input does, which holds for files and checkpoints. A null text is the empty one: its single token is
-    ``end_id``. Repeated rows are packed each on their own; other columns aren't read. ``longest`` is a power of two.
+    ``end_id``. Repeated rows are packed each on their own; other columns aren't read; an empty table gives an empty result.
+    ``longest`` is a power of two.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _encoder(vocabulary), end_id.to_bytes(4, "little")
-        for b in batches:
-            at, starts, lengths, ids, totals = [], [], [], [], []
-            held = 0
-            for row, t in enumerate(strings(b.column(1))):
-                all_ids = ids_of(t) + end
-                n, start = len(all_ids) // 4, 0
-                for length in piece_lengths(n, longest):
-                    at.append(row)
-                    starts.append(start)
-                    lengths.append(length)
-                    ids.append(all_ids[4 * start : 4 * (start + length)])
-                    totals.append(n)
-                    start += length
-                held += len(all_ids)
-                if held > 1 << 24:  # so that a batch of long documents doesn't leave as one
-                    yield made(b, at, starts, lengths, ids, totals)
-                    at, starts, lengths, ids, totals, held = [], [], [], [], [], 0
-            if at:
-                yield made(b, at, starts, lengths, ids, totals)
-
-    def made(b, at, starts, lengths, ids, totals):
-        cols = [b.column(0).take(pa.array(at, pa.int32())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids", "doc_tokens"])
+        ids_of = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, TextIds(vocabulary))
+        for b in slices(batches):
+            ids, bounds = ids_of(b.column(1), end_id.to_bytes(4, "little"))
+            totals = np.diff(bounds)
+            each = [piece_lengths(n, longest) for n in totals.tolist()]
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in each])
+            lengths = np.fromiter(chain.from_iterable(each), dtype=np.int64, count=len(row))
+            ends = np.cumsum(lengths)
+            # pieces lie one after the other, so their binary values share the buffer of all ids
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.concatenate([[0], 4 * ends])), pa.py_buffer(ids)])
+            columns = [b.column(0).take(pa.array(row)), pa.array(ends - lengths - bounds[row]), pa.array(lengths), held.cast(pa.binary()), pa.array(totals[row])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     pieces = rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
@@ -165,6 +116,7 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of powers of two up to 2048, with the CRC-32 of each piece's ids."""
     import public_tokenizers
 
     return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

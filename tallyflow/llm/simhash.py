@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import WORD, components, cut, small_side, strings, table
+from tallyflow.llm.common import WORD, components, cut, small_side, slices, strings, table
 
 BITS, SEGMENT = 64, 2
 _LOW = 0x5555555555555555
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: s
                 ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
-        for b in batches:
+        for b in slices(batches):
             found = [fingerprint(t) for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
 

@@ -2,8 +2,8 @@
 
 A word's count is its number of initial symbols minus its merges, so merging needs no vocabulary lookups: the adjacent
 pair of the lowest rank is popped from a heap, joined in a doubly linked list of symbols, and its two new neighbours are
-pushed, until no pair has a rank. A text is cut at blanks first, which no token crosses; each distinct piece is merged
-once and remembered in a cache of bounded size.
+pushed, until no pair has a rank. Texts are cut at blanks first, which no token crosses; each distinct piece of a slice of
+texts is looked up or merged once, and remembered in a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -13,21 +13,23 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import strings, table
+from tallyflow.llm.common import coded, slices, table
 
-#: Pieces that a worker remembers at most; bounds memory, not results.
-CACHE = 100_000
+#: Pieces that a worker remembers at most, and the longest that it does; they bound memory, not results.
+CACHE, LONGEST = 400_000, 64
 
 
 class Remembered(dict):
     """A function's results by argument, as a dict that fills itself and holds about ``size`` of them.
 
     When it is half full, what it holds becomes the old half, and the old half before that, unless asked for since, goes.
-    ``__getitem__`` is the fast way in; a call does the same.
+    Long arguments aren't held. ``__getitem__`` is the fast way in; a call does the same.
     """
 
     def __init__(self, of: Callable, size: int = CACHE):
@@ -35,6 +37,8 @@ class Remembered(dict):
         self.of, self.half, self.old = of, max(1, size // 2), {}
 
     def __missing__(self, x):
+        if len(x) > LONGEST:
+            return self.of(x)
         found = self.old.get(x)
         if found is None:
             found = self.of(x)
@@ -95,10 +99,35 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return left
 
 
-def counter(path: str) -> Callable[[str], int]:
-    """Counts the tokens of a text as the tokenizers file at ``path`` gives them, without added ones.
+#: The words of the library's pattern for files like word_bpe_49k.json.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
-    It covers files like word_bpe_49k.json: NFC, white space collapsed, lower case, words split by the pattern below,
+
+def word_splitter() -> Callable[[str], list[str]]:
+    """From a piece without blanks and special strings to its words by ``WORDS``, normalised. Plain words take the short way."""
+    import regex
+
+    in_words = regex.compile(WORDS).findall
+
+    def words(p: str) -> list[str]:
+        bare = p.rstrip(",.")
+        if bare.isascii() and bare.isalpha():
+            return [bare.lower()] if len(bare) == len(p) else [bare.lower(), p[len(bare) :]]
+        low = lowered(unicodedata.normalize("NFC", p))
+        return [low] if low.isalpha() else in_words(low)
+
+    return words
+
+
+def at_blanks(texts: pa.Array) -> pa.ListArray:
+    """Each text's pieces between blanks and line ends, which no token crosses; of an empty text, one empty piece."""
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
+def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+    """Counts the tokens of each text as the tokenizers file at ``path`` gives them, without added ones.
+
+    It covers files like word_bpe_49k.json: NFC, white space collapsed, lower case, words split by ``WORDS``,
     bytes as symbols, the last symbol of a word marked. Special strings in a text count as one token each.
     """
     import regex
@@ -109,7 +138,7 @@ def counter(path: str) -> Callable[[str], int]:
     special = [t["content"] for t in spec["added_tokens"]]
     ranks, stand_in = pair_ranks(path), byte_symbols()
     at_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-    in_words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+    words_in = word_splitter()
 
     def word(w: str) -> int:
         symbols = [stand_in[b] for b in w.encode()]
@@ -118,32 +147,35 @@ def counter(path: str) -> Callable[[str], int]:
 
     word = Remembered(word).__getitem__
 
-    def plain(s: str) -> int:
-        return sum(map(word, in_words(lowered(unicodedata.normalize("NFC", s)))))
-
     def piece(s: str) -> int:
-        if at_special and at_special.search(s):
-            return sum(map(plain, at_special.split(s))) + len(at_special.findall(s))
-        return plain(s)
+        if at_special and not s.isalnum() and at_special.search(s):
+            return sum(word(w) for part in at_special.split(s) for w in words_in(part)) + len(at_special.findall(s))
+        return sum(map(word, words_in(s)))
 
     piece = Remembered(piece).__getitem__
-    return lambda text: sum(map(piece, text.replace("\n", " ").split(" ")))
+
+    def count(texts: pa.Array) -> np.ndarray:
+        distinct, codes, starts = coded(at_blanks(texts))
+        each = np.fromiter(map(piece, distinct), dtype=np.int64, count=len(distinct))
+        return np.add.reduceat(each[codes], starts[:-1])
+
+    return count
 
 
-_counters: dict[str, Callable[[str], int]] = {}
+_counters: dict[str, Callable[[pa.Array], np.ndarray]] = {}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, whole texts, in one pass without a shuffle.
 
     ``vocabulary`` is the path of the tokenizers file on the executors. A null text is the empty one: no bytes, no
-    tokens. Repeated rows stay; other columns aren't read.
+    tokens. Repeated rows stay; other columns aren't read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counters.get(vocabulary) or _counters.setdefault(vocabulary, counter(vocabulary))
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([count(t) for t in strings(b.column(1))], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count(b.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
 
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), t.alias("text"), F.octet_length(t).cast("long").alias("n_bytes"))
@@ -152,6 +184,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, key: str =
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, counted by the merges of word_bpe_49k.json."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

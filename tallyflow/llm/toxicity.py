@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import strings, table
+from tallyflow.llm.common import slices, strings, table
 from tallyflow.llm.tokens import Remembered
 
 #: Labelled rows that are learned from at most, the same ones in every run: those of the least hashes.
@@ -268,7 +268,7 @@ def _featured(model: Model, carried: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = matcher(model)
-        for b in batches:
+        for b in slices(batches, 0):
             rows = [features(t, find, model) for t in strings(b.column(0))]
             values = np.array(rows, dtype=float).reshape(len(rows), 6)
             names = [*b.schema.names[1 : 1 + carried], *[f"f{k}" for k in range(6)]]

@@ -15,7 +15,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
     None, "", " ", "\n\n", "a", "a b", "a b a b a b", "x\ny\nx\n \n \nx", "one two three one two three four", "# * $ %", "é è ê\x1c\x85f", "İSTANBUL ΣΑΣ ﬁ é ｆ",
-    "don't I'LL we've '' 's 'sun <|endoftext|> a<|startoftext|>b <|endoftext|", "1234567 12a34 ½ ² ٣", "日本語 テキスト 👍🏽 a​b", "w " * 3000, "wörter " * 50 + "! " * 60, "a" * 5000,
+    "don't I'LL we've '' 's 'sun <|endoftext|> a<|startoftext|>b <|endoftext|", "X<|ENDOFTEXT|>y <|EndOfText|> J̌ Ǆ", "1234567 12a34 ½ ² ٣", "日本語 テキスト 👍🏽 a​b", "w " * 3000, "wörter " * 50 + "! " * 60, "a" * 5000,
     "mail a.b@c.d_e@f.gh, x@y, z@q.r. +1 (555) 555-0100 10.0.0.1 1.2.3.4.5 300.1.1.1 007.0.0.1", "4111 1111 1111 1111 4111111111111112 4111-1111-1111-1111 1 2 3", "😀 a@b.co 😀 +49 30 1234567",
     "a@b@c.de +12 +1234567890123456 +1-23-45-67-89-0.", "IBAN DE89 3704 0044 0532 0130 00, account GB82WEST12345698765432 DE89370400440532013001", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 04dbebab91ab85687d33eeaaf9ac699e1188f962',
     "1 " * 400 + "9.9.9.9 " * 600, "12345678901234567890123 " * 3, "A" * 40 + "@", "@@..@ a@ @b.c",

@@ -3,12 +3,16 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyflow.llm import decontamination as D
 from tallyflow.llm import html_text, passages, toxicity
 
 
+PLAIN = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(9, 14)}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -143,13 +147,13 @@ def test_shared_passages_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     seen = {}
     for r in docs.collect():
-        w = r["text"].translate(passages._PLAIN).split()
+        w = r["text"].translate(PLAIN).split()
         for k in range(len(w) - 49):
             seen.setdefault(tuple(w[k : k + 50]), set()).add(r["doc_id"])
     want = set().union(*(s for s in seen.values() if len(s) > 1))
     rows = passages.near_passages(docs).collect()
     assert want <= {i for r in rows for i in (r["doc_id"], r["other_id"])}
-    text = {r["doc_id"]: r["text"].translate(passages._PLAIN).split() for r in docs.collect()}
+    text = {r["doc_id"]: r["text"].translate(PLAIN).split() for r in docs.collect()}
     for r in rows:
         a, b = text[r["doc_id"]][r["start"] : r["stop"]], text[r["other_id"]][r["other_start"] : r["other_stop"]]
         x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
@@ -174,7 +178,7 @@ def test_passage_whose_least_shingles_an_earlier_document_holds(spark):
     rng = random.Random(5)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
     p = some(50)
-    s = passages.shingles(" ".join(p), {w: passages._word(w) for w in p})
+    (s,) = passages.shingles(pa.array([" ".join(p)]))
     seeds = passages._mixed(np.arange(1, passages.HASHES + 1, dtype=np.uint64) * np.uint64(passages._MIX[0] >> 1))
     least = sorted({int(passages._mixed(s ^ k).argmin()) for k in seeds})
     phrases = [w for c in least for w in ["zz"] * 60 + p[c : c + passages.SHINGLE] + ["zz"] * 60]
