@@ -4,8 +4,8 @@ The lexicon is learned: words, and stems that words begin with, that labelled to
 others. The texts' words are matched against all terms at once: the automaton of each term up to its edit distance is
 intersected with the trie of all terms, and the product is made deterministic state by state as words need it, so a word
 costs one table lookup a letter and most words die within a few. What is found is weighed by its context: a hit
-in a span of quotation marks, or shortly after a reporting word, counts as quoted. A logistic model over the counts,
-fitted on labelled rows of the other half, gives the score.
+in a span of quotation marks, or shortly after a reporting word, counts as quoted. A logistic model over the counts gives the
+score. It is cross-fitted: each labelled row is measured with a lexicon that was learned without the row's fold.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import slices, strings, table
-from tallyflow.llm.tokens import Remembered
+from tallyflow.llm.common import coded, cut, slices, table
+from tallyflow.llm.tokens import Remembered, at_blanks
 
 #: Labelled rows that are learned from at most, the same ones in every run: those of the least hashes.
 TRAIN_ROWS = 20_000
@@ -31,6 +32,8 @@ STEMS = (4, 5, 6, 7)
 LEAST_TEXTS, LEAST_LIFT = 5, 12.0
 #: Of few toxic texts, this share of them and 3 at least will do.
 LEAST_SHARE = 0.25
+#: Parts of the labelled rows; the weights see each with a lexicon of the others.
+FOLDS = 4
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 REPORTING = frozenset("said says say called calls wrote writes quoted quote quoting word words term slur dijo escribió palabra dit mot écrit sagte schrieb wort".split())
@@ -140,11 +143,15 @@ class Model:
 
 
 _plain = re.compile(r"[^\W\d_]+").findall
+_edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
 def letters(chunk: str) -> list[str]:
-    """The words in a piece of text: runs of letters, in lower case and NFC."""
-    return _plain(unicodedata.normalize("NFC", chunk).lower())
+    """The words in a piece of text, in lower case and NFC: runs of letters, and the whole piece between its first and last
+    letter where digits or symbols stand inside, as in disguised words."""
+    low = unicodedata.normalize("NFC", chunk).lower()
+    found = _plain(low)
+    return [*found, _edges.sub("", low)] if len(found) > 1 else found
 
 
 def matcher(model: Model):
@@ -167,50 +174,73 @@ def quoted(chunks: list[str], at: int) -> bool:
     return opened and closed
 
 
-def features(text: str, find, model: Model) -> list[float]:
-    """Whole-word hits, stem hits, fuzzy hits, quoted hits (each as log1p), summed log-odds, hits per 100 words."""
-    chunks = text.replace("\n", " ").split(" ")
-    hits = [(i, m) for i, m in enumerate(map(find.__getitem__, chunks)) if m]
-    n = [0.0] * 4
-    odds = 0.0
-    for i, (term, edits) in hits:
-        stem, weight = model.terms[term]
-        if quoted(chunks, i):
-            n[3] += 1
-        else:
-            n[2 if edits else 1 if stem else 0] += 1
-            odds += weight / (1 + edits)
-    return [*np.log1p(n).tolist(), min(odds, 30.0) / 10, min(100.0 * sum(n[:3]) / len(chunks), 20.0) / 10]
+def features(texts: pa.Array, find, model: Model) -> np.ndarray:
+    """A row a text: whole-word hits, stem hits, fuzzy hits, quoted hits (each as log1p), summed log-odds, hits per 100 words."""
+    distinct, codes, starts = coded(at_blanks(texts))
+    best = [*map(find.__getitem__, distinct)]
+    hit = np.flatnonzero(np.fromiter(map(bool, best), dtype=bool, count=len(best))[codes])
+    out = np.zeros((len(texts), 6))
+    for row, mine in groupby(zip((np.searchsorted(starts, hit, "right") - 1).tolist(), hit.tolist()), lambda x: x[0]):
+        a, b = int(starts[row]), int(starts[row + 1])
+        chunks, n, odds = [distinct[c] for c in codes[a:b].tolist()], [0.0] * 4, 0.0
+        for _, i in mine:
+            term, edits = best[codes[i]]
+            stem, weight = model.terms[term]
+            if quoted(chunks, i - a):
+                n[3] += 1
+            else:
+                n[2 if edits else 1 if stem else 0] += 1
+                odds += weight / (1 + edits)
+        out[row] = [*np.log1p(n), min(odds, 30.0) / 10, min(100.0 * sum(n[:3]) / (b - a), 20.0) / 10]
+    return out
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, rows: int) -> DataFrame:
-    """(text, y, half) of at most ``rows`` labelled documents outside the held-out fifth, those of the least hashes."""
+    """(text, y, fold) of at most ``rows`` labelled documents outside the held-out fifth, those of the least hashes.
+
+    Of repeated rows of one id, the one of the least text counts, so ``rows`` bounds what is learned from.
+    """
     known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
     body = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return body.join(F.broadcast(some), F.col("_key") == F.col("_id")).select("text", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(2)).alias("half"))
+    found = body.join(F.broadcast(some), F.col("_key") == F.col("_id")).groupBy("_id", "y").agg(F.min("text").alias("text"))
+    return found.select("text", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def learn_terms(rows: DataFrame) -> dict[str, tuple[bool, float]]:
-    """Words and stems that toxic texts hold far more often than others, with their log-odds.
+def learn_terms(rows: DataFrame) -> list[dict[str, tuple[bool, float]]]:
+    """Words and stems that toxic texts hold far more often than others, with their log-odds: for each fold those learned
+    without it, and at the end those of all rows.
 
-    Counted in Spark over distinct words a text. What is collected passed a test on counts of a bounded sample, so it is
-    a lexicon, whatever the corpus. A stem is taken only where many different words carry it, none much alone, and
-    replaces the words that begin with it; of nested stems the shortest that holds stays.
+    Counted in Spark over distinct words a text, once for all folds. What is collected passed a test on counts of a bounded
+    sample, so it is a lexicon, whatever the corpus. A stem is taken only where many different words carry it, none much
+    alone, and replaces the words that begin with it; of nested stems the shortest that holds stays.
     """
-    words = rows.select("y", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("w")).where("length(w) between 3 and 40")
+    words = rows.select("y", "fold", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("w")).where("length(w) between 3 and 40")
     stems = F.array(*[F.when(F.length("w") > n, F.struct(F.substring("w", 1, n).alias("t"), F.lit(True).alias("stem"))) for n in STEMS])
-    terms = words.select("y", "w", F.explode(F.array_append(F.filter(stems, lambda s: s.isNotNull()), F.struct(F.col("w").alias("t"), F.lit(False).alias("stem")))).alias("x"))
-    counts = terms.groupBy("x.t", "x.stem", "w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    counts = counts.groupBy("t", "stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("p").alias("most"), F.sum(F.when(F.col("p") > 0, 1).otherwise(0)).alias("kinds"))
-    all_p, all_n = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    if not all_p or not all_n:
-        return {}
-    lift = (F.col("p") / all_p) / ((F.col("n") + 1) / all_n)
-    # the share of a stem's occurrences must stay well above what the others' texts explain
-    least = min(LEAST_TEXTS, max(3, LEAST_SHARE * all_p))
-    good = counts.where((F.col("p") >= least) & (lift >= LEAST_LIFT) & (~F.col("stem") | ((F.col("kinds") >= 5) & (F.col("most") <= 0.6 * F.col("p")) & (F.col("p") >= 2 * LEAST_TEXTS))))
-    found = {(r["t"], r["stem"]): float(np.log(r["l"])) for r in good.select("t", "stem", lift.alias("l")).collect()}
+    of_word = words.groupBy("w").agg(*[F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), 1).otherwise(0)).alias(f"{s}{k}") for k in range(FOLDS) for s, y in (("p", 1), ("n", 0))])
+    terms = of_word.select("*", F.explode(F.array_append(F.filter(stems, lambda s: s.isNotNull()), F.struct(F.col("w").alias("t"), F.lit(False).alias("stem")))).alias("x"))
+    without = [[k for k in range(FOLDS) if k != v] for v in range(FOLDS + 1)]
+    parts = []
+    for v, folds in enumerate(without):
+        p, n = (sum((F.col(f"{s}{k}") for k in folds), F.lit(0)) for s in "pn")
+        parts.append(F.struct(F.sum(p).alias("p"), F.sum(n).alias("n"), F.max(p).alias("most"), F.sum(F.when(p > 0, 1).otherwise(0)).alias("kinds")).alias(f"v{v}"))
+    counts = terms.groupBy("x.t", "x.stem").agg(*parts)
+    seen = {(r["fold"], int(r["y"])): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    lifts = []
+    for v, folds in enumerate(without):
+        all_p, all_n = (sum(seen.get((k, y), 0) for k in folds) for y in (1, 0))
+        p, n, most, kinds = (F.col(f"v{v}.{c}") for c in ("p", "n", "most", "kinds"))
+        lift = (p / max(1, all_p)) / ((n + 1) / max(1, all_n))
+        least = min(LEAST_TEXTS, max(3, LEAST_SHARE * all_p))
+        # the share of a stem's occurrences must stay well above what the others' texts explain
+        held = (p >= least) & (lift >= LEAST_LIFT) & (~F.col("stem") | ((kinds >= 5) & (most <= 0.6 * p) & (p >= 2 * LEAST_TEXTS)))
+        lifts.append(F.when(held, lift).alias(f"l{v}"))
+    good = counts.select("t", "stem", *lifts).where(F.coalesce(*[f"l{v}" for v in range(FOLDS + 1)]).isNotNull()).collect()
+    return [_lexicon({(r["t"], r["stem"]): float(np.log(r[f"l{v}"])) for r in good if r[f"l{v}"] is not None}) for v in range(FOLDS + 1)]
+
+
+def _lexicon(found: dict[tuple[str, bool], float]) -> dict[str, tuple[bool, float]]:
+    """The terms without those that a shorter stem among them stands for."""
     stem_set = {t for t, stem in found if stem}
     stem_set = {t for t in stem_set if not any(t[:k] in stem_set for k in STEMS if k < len(t))}
     kept = {t: (True, found[t, True]) for t in stem_set}
@@ -245,34 +275,38 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, never_less: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Learns the lexicon on one half of the labelled rows and the weights of the features on the other.
+    """Learns the lexicon, and the weights of the features on rows measured with lexicons that were learned without them.
 
     ``labels`` has doc_id and toxic (1 or 0; null: no label; the larger of two counts). Rows whose crc32(doc_id as text)
     is divisible by 5 are never learned from. Without both labels, nothing is learned and every text scores below 0.5.
     """
-    from tallyflow.llm.common import cut
-
     sample = cut(train_rows(docs, labels, key, text, rows))
-    model = Model(learn_terms(sample.where("half = 0")))
-    if not model.terms:
-        return model
-    seen = sample.where("half = 1").mapInArrow(_featured(model, 1), f"y double, {', '.join(f'f{k} double' for k in range(6))}").collect()
+    *folds, whole = [Model(terms) for terms in learn_terms(sample)]
+    if not whole.terms:
+        return whole
+    seen = sample.mapInArrow(_featured(folds), f"y double, fold int, {_FEATURES}").drop("fold").collect()
     if len({r["y"] for r in seen}) == 2:
         data = np.array(seen, dtype=float)
-        model.weights = fit_weights(data[:, 1:], data[:, 0])
-    return model
+        whole.weights = fit_weights(data[:, 1:], data[:, 0])
+    return whole
+
+
+_FEATURES = ", ".join(f"f{k} double" for k in range(6))
 
 
-def _featured(model: Model, carried: int):
-    """Batches of (text, then columns to carry) to those columns and the features."""
+def _featured(models: list[Model]):
+    """Batches of (text, a column to carry, number of the model) to the latter two and the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = matcher(model)
+        found = [matcher(m) for m in models]
         for b in slices(batches, 0):
-            rows = [features(t, find, model) for t in strings(b.column(0))]
-            values = np.array(rows, dtype=float).reshape(len(rows), 6)
-            names = [*b.schema.names[1 : 1 + carried], *[f"f{k}" for k in range(6)]]
-            yield pa.RecordBatch.from_arrays([*b.columns[1 : 1 + carried], *[pa.array(values[:, k]) for k in range(6)]], names)
+            which = b.column(2).to_numpy()
+            values = np.zeros((b.num_rows, 6))
+            for v, model in enumerate(models):
+                mine = np.flatnonzero(which == v)
+                if len(mine):
+                    values[mine] = features(b.column(0).take(pa.array(mine)), found[v], model)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *[pa.array(values[:, k]) for k in range(6)]], [*b.schema.names[1:], *[f"f{k}" for k in range(6)]])
 
     return run
 
@@ -280,10 +314,10 @@ def _featured(model: Model, carried: int):
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every row, from its whole text alone; a null text is the empty one.
 
-    No shuffle; repeated rows stay; other columns aren't read.
+    No shuffle; repeated rows stay; other columns aren't read; an empty table gives an empty result.
     """
-    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("doc_id"))
-    seen = body.mapInArrow(_featured(model, 1), f"doc_id {docs.schema[key].dataType.simpleString()}, {', '.join(f'f{k} double' for k in range(6))}")
+    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("doc_id"), F.lit(0).alias("model"))
+    seen = body.mapInArrow(_featured([model]), f"doc_id {docs.schema[key].dataType.simpleString()}, model int, {_FEATURES}")
     z = F.lit(model.weights[0])
     for k, w in enumerate(model.weights[1:]):
         z = z + F.lit(w) * F.col(f"f{k}")
@@ -291,6 +325,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, by a model of the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")

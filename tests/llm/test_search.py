@@ -39,10 +39,11 @@ def test_automaton_against_plain_distances():
 def test_quotation_is_told_from_abuse():
     model = toxicity.Model({"idiot": (False, 5.0), "worthless": (False, 5.0)})
     find = toxicity.matcher(model)
-    f = lambda t: toxicity.features(t, find, model)
+    f = lambda t: toxicity.features(pa.array([t]), find, model)[0]
     assert f("you are an idiot")[0] > 0 and f("you are an idiot")[3] == 0
     assert f('he heard "you idiot" there')[3] > 0 and f("the word idiot is old")[3] > 0
     assert f("so worthles you are")[2] > 0 and f("an IDIOT!")[0] > 0 and f("")[5] == 0
+    assert f("you id1ot")[2] > 0 and f("you i*diot!")[2] > 0 and f("w-orthl3ss")[2] > 0 and not f("1234 %%% a1b2").any()
 
 
 def test_toxicity_on_held_out_rows(spark):
