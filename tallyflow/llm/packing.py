@@ -110,9 +110,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048,
     return pieces.withColumn("bucket", F.log2("length").cast("int")).withColumn("sequence_id", F.monotonically_increasing_id())
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces without their ids, but with the ids' CRC-32; a piece begins its sequence."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "bucket")
+def digest(pieces: DataFrame, with_ids: bool = False) -> DataFrame:
+    """The pieces with the CRC-32 of their ids, and the ids too if asked for; a piece begins its sequence."""
+    ids = ["ids"] if with_ids else []
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "bucket", *ids)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,28 +124,30 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fingerprint"), distance, blocks))
     classes = nodes.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("c"))
-    ids = classes.groupBy("c").agg(F.min("least").alias("component_id"))
+    ids = cut(classes.groupBy("c").agg(F.min("least").alias("component_id")))  # stored, so that the join below can split a hot component
     named = classes.join(ids, "c").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays per near-duplicate group: that of the smallest id.
+    """The rows of ``docs``, all columns, of which one stays per near-duplicate group.
 
-    Of several rows with that id, one stays. A group of null ids only stays as it is.
+    It is the row of the smallest id, null ids last; of several with that id, the one of the least hash of the text, then of
+    the whole row; of equal rows any. Ids need not be unique: rows are judged each by its text.
     """
-    classes = cut(near_duplicates(docs, distance, shingle, blocks, key, text).select("doc_id", "component_id"))
-    gone = small_side(classes.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    again = small_side(again)
+    row = F.struct(docs[key].isNull().alias("no_id"), docs[key].alias("id"), F.xxhash64(docs[text]).alias("text"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("row"))
+    classes = cut(near_duplicates(docs.select(row.alias("row"), docs[text].alias("text")), distance, shingle, blocks, "row", "text").select("doc_id", "component_id"))
+    gone = small_side(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, row == gone["doc_id"], "left_anti")
+    again = small_side(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    same = F.col(key) == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
+    same = row == again["doc_id"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates())
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest document that links of 4 bits or fewer reach."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
