@@ -17,35 +17,41 @@ from tallyflow.llm import decontamination, packing, pii, simhash, toxicity
 from tallyflow.llm.common import shared_folder, small_side, table
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, text): each row as one value, so that an operator's result holds it whole; no column can clash with others."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below 0.5. Rows of one id stand or fall together."""
+    """Rows that the toxicity model scores below 0.5, each judged by its own text."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    body = docs.withColumn("_text", F.struct(*docs.columns))
-    kept = toxicity.score(body, model, key="_text").where("predicted = 0")
-    return kept.select("doc_id.*")
+    return toxicity.score(keyed(docs), model, key="row").where("predicted = 0").select("doc_id.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group."""
+    """One row of each near-duplicate group, that of the smallest id."""
     return simhash.deduplicate(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    leaked = small_side(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """Rows that hold no item of the benchmark, each judged by its own text; ids may repeat or be null."""
+    row = F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text"))
+    found = decontamination.leaks(docs.select(row.alias("row"), docs["text"]), table(spark, sf_dir, "benchmark"), key="row")
+    leaked = small_side(found.select("doc_id").distinct())
+    return docs.join(leaked, row.eqNullSafe(leaked["doc_id"]), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars counts what is left."""
-    done = pii.redact(docs.withColumn("_row", F.struct(*docs.columns)), key="_row")
-    changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("spans") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc_id.n_chars"))}
-    return done.select(*[changed.get(c, F.col(f"doc_id.{c}")).alias(c) for c in docs.columns])
+    """All rows, each span of personal data replaced by its kind; n_chars counts what is left where one was."""
+    done = pii.redact(keyed(docs), key="row")
+    left = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("spans") > 0, left).otherwise(F.col("doc_id.n_chars"))}
+    return done.select(*[changed.get(c, F.col("doc_id").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths of at most 2048 tokens."""
-    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """Sequences of power-of-two lengths of at most 2048 tokens, with their ids (4 little-endian bytes each)."""
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")), with_ids=True)
 
 
 STAGES = [
