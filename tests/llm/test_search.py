@@ -179,7 +179,7 @@ def test_passage_whose_least_shingles_an_earlier_document_holds(spark):
     rng = random.Random(5)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
     p = some(50)
-    (s,) = passages.shingles(pa.array([" ".join(p)]))
+    s, _ = passages.shingles(pa.array([" ".join(p)]))
     seeds = passages._mixed(np.arange(1, passages.HASHES + 1, dtype=np.uint64) * np.uint64(passages._MIX[0] >> 1))
     least = sorted({int(passages._mixed(s ^ k).argmin()) for k in seeds})
     phrases = [w for c in least for w in ["zz"] * 60 + p[c : c + passages.SHINGLE] + ["zz"] * 60]
