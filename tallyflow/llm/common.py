@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of text that an operator in Python takes up at once. A batch of long texts is cut, so memory follows this and the longest text.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def strings(column) -> Iterator[str]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyflow.llm.common import coded, slices, table
 
 #: Pieces that a worker remembers at most, and the longest that it does; they bound memory, not results.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 300_000, 64
 
 
 class Remembered(dict):
