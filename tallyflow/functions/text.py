@@ -59,20 +59,29 @@ def usd_floor(pico: Column) -> Column:
 
 
 def share(part: Column, whole: Column) -> Column:
-    """A share in per cent, as whole numbers but for <1% and >99%."""
-    p = 100 * part / F.nullif(whole, F.lit(0))
-    return F.when(part == 0, F.lit("0%")).when(part == whole, F.lit("100%")).when(p < 1, F.lit("<1%")).when(p > 99, F.lit(">99%")).otherwise(F.concat(F.round(p).cast("int").cast("string"), F.lit("%")))
+    """A share in per cent, rounded; what isn't none or all never reads 0% or 100%, but <1% and >99%."""
+    p = F.floor(100 * part / F.nullif(whole, F.lit(0)) + 0.5)
+    return F.when((p <= 0) & (part > 0), F.lit("<1%")).when((p >= 100) & (part < whole), F.lit(">99%")).otherwise(F.concat(p.cast("string"), F.lit("%")))
 
 
 def short_tokens(n: Column) -> Column:
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.floor(n / 1000).cast("string"), F.lit("k"))).otherwise(F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M")))
+    """Whole tokens, or thousands, millions and billions: one decimal below 9.95 of the unit, none from there; ties go up."""
+
+    def unit(size: int, suffix: str) -> Column:
+        tenths = F.floor((20 * n + size) / (2 * size))
+        fine = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(F.lit("")))
+        return F.concat(F.when(100 * n < 995 * size, fine).otherwise(F.floor((2 * n + size) / (2 * size)).cast("string")), F.lit(suffix))
+
+    return F.when(n < 1000, n.cast("string")).when(n < 999_500, unit(1000, "k")).when(n < 999_500_000, unit(1_000_000, "M")).otherwise(unit(1_000_000_000, "B"))
 
 
 def duration(ms: Column) -> Column:
-    """Hours and minutes, minutes and seconds, or seconds."""
-    s = F.floor(ms / 1000)
+    """Rounded to seconds: ``1h 02m 03s``, ``2m 03s`` or ``3s``."""
+    s = F.floor(ms / 1000 + 0.5)
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
-    return F.when(ms.isNull() | (ms < 0), None).when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m"))).when(m > 0, F.concat(m.cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    minutes = F.concat(F.when(h > 0, two(m)).otherwise(m.cast("string")), F.lit("m "), two(s % 60), F.lit("s"))
+    return F.when(ms.isNull() | (ms < 0), None).when(h > 0, F.concat(h.cast("string"), F.lit("h "), minutes)).when(m > 0, minutes).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
 def epoch_ms(c: Column) -> Column:

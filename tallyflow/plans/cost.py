@@ -124,5 +124,5 @@ ORACLE_SQL = {
     "price_delta": SQL + "SELECT session_id || ':' || turn_index AS session_id, min(vendor) AS vendor, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(least) AS DECIMAL(38,0)) AS cheapest_pico, CAST(sum(pico) - sum(least) AS DECIMAL(38,0)) AS delta_pico FROM repriced GROUP BY repriced.session_id, turn_index HAVING count(DISTINCT vendor) = 1 AND bool_and(pico IS NOT NULL AND NOT write_floor AND NOT read_floor)",
     "book_faults": SQL + "SELECT v AS vendor, m AS model, CAST(d AS DATE) AS from_date, f AS fault, count(*) AS n_units FROM units JOIN (VALUES ('beta', 'beta-mini', '2024-01-03', 'overlaps the next row'), ('beta', 'beta-mini', '2024-01-20', 'more than one open row'), ('alpha', 'alpha-large', '2024-01-15', 'overlaps the next row'), ('alpha', 'alpha-large', '2024-03-01', 'ends before it begins')) x(v, m, d, f) ON model = m GROUP BY ALL",
     "usd_floor": SQL + ", d AS (SELECT session_id, turn_index, pico, CASE WHEN pico >= 10000000000 THEN 2 ELSE least(12, 13 - length(CAST(pico AS VARCHAR))) END AS n FROM turns WHERE pico IS NOT NULL), f AS (SELECT *, pico // CAST(pow(10, 12 - n) AS HUGEINT) AS w FROM d) SELECT session_id, turn_index, CASE WHEN pico = 0 THEN '0.00' ELSE CAST(w // CAST(pow(10, n) AS HUGEINT) AS VARCHAR) || '.' || lpad(CAST(w % CAST(pow(10, n) AS HUGEINT) AS VARCHAR), CAST(n AS INT), '0') END AS usd FROM f",
-    "token_formats": SQL + "SELECT session_id, turn_index, CASE WHEN total < 1000 THEN CAST(total AS VARCHAR) WHEN total < 1000000 THEN CAST(total // 1000 AS VARCHAR) || 'k' ELSE CAST(total // 1000000 AS VARCHAR) || 'M' END AS short, CASE WHEN total < 1000 THEN '<1k' WHEN total < 5000 THEN '1k-5k' WHEN total < 20000 THEN '5k-20k' ELSE '20k+' END AS bucket, CASE WHEN cache_read = 0 THEN '0%' WHEN cache_read = total THEN '100%' WHEN 100.0 * cache_read < total THEN '<1%' WHEN 100.0 * cache_read > 99 * total THEN '>99%' ELSE CAST(CAST(round(100 * CAST(cache_read AS DOUBLE) / total) AS INT) AS VARCHAR) || '%' END AS cached FROM turns",
+    "token_formats": SQL + ", i AS (SELECT session_id, turn_index, CAST(total AS BIGINT) AS total, CAST(cache_read AS BIGINT) AS cache_read, CAST(floor(100 * CAST(cache_read AS DOUBLE) / total + 0.5) AS BIGINT) AS p FROM turns) SELECT session_id, turn_index, CASE WHEN total < 1000 THEN CAST(total AS VARCHAR) WHEN total < 9950 THEN regexp_replace(((total + 50) // 100 // 10) || '.' || ((total + 50) // 100 % 10), '[.]0$', '') || 'k' WHEN total < 999500 THEN ((total + 500) // 1000) || 'k' WHEN total < 9950000 THEN regexp_replace(((total + 50000) // 100000 // 10) || '.' || ((total + 50000) // 100000 % 10), '[.]0$', '') || 'M' ELSE ((total + 500000) // 1000000) || 'M' END AS short, CASE WHEN total < 1000 THEN '<1k' WHEN total < 5000 THEN '1k-5k' WHEN total < 20000 THEN '5k-20k' ELSE '20k+' END AS bucket, CASE WHEN p <= 0 AND cache_read > 0 THEN '<1%' WHEN p >= 100 AND cache_read < total THEN '>99%' ELSE p || '%' END AS cached FROM i",
 }
