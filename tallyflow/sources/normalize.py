@@ -197,7 +197,7 @@ def replay(lines: DataFrame) -> DataFrame:
     """The messages that are left of a log with rewinds and checkpoints: (file, place, id, message).
 
     A message of a known id replaces the earlier one in its place. ``$rewindTo`` drops that message and all after it;
-    ``$set.messages`` replaces all. Every step depends on the state before it, so a file's lines stream through one task
+    ``$set.messages`` replaces all; a target that is no known id changes nothing. Every step depends on the state before it, so a file's lines stream through one task
     in order; it holds the messages that are left of one file.
     """
     import json
@@ -210,9 +210,9 @@ def replay(lines: DataFrame) -> DataFrame:
         if not isinstance(r, dict):
             return kept
         if "$rewindTo" in r:
-            ids = list(kept)
-            if r["$rewindTo"] in kept:
-                for gone in ids[ids.index(r["$rewindTo"]) :]:
+            ids, to = list(kept), r["$rewindTo"]
+            if isinstance(to, str) and to in kept:
+                for gone in ids[ids.index(to) :]:
                     del kept[gone]
         elif isinstance(r.get("$set"), dict) and isinstance(r["$set"].get("messages"), list):
             return {m["id"]: json.dumps(m) for m in r["$set"]["messages"] if isinstance(m, dict) and isinstance(m.get("id"), str)}

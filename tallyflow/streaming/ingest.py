@@ -10,8 +10,8 @@ from tallyflow.schema import PICO
 from tallyflow.sources.normalize import merge_snapshots
 
 
-def latest_state(spark: SparkSession, target: str) -> DataFrame | None:
-    """The table that the last finished batch left, or None before the first."""
+def latest_state(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The table that the last finished batch left, or the last one before batch ``before``; None before the first."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
 
@@ -19,6 +19,7 @@ def latest_state(spark: SparkSession, target: str) -> DataFrame | None:
         versions = [int(r["v"]) for r in spark.read.text(f"{target}/_versions").selectExpr("value as v").collect()]
     except (AnalysisException, Py4JJavaError):
         return None
+    versions = [v for v in versions if before is None or v < before]
     return spark.read.parquet(f"{target}/v{max(versions)}") if versions else None
 
 
@@ -26,12 +27,12 @@ def upsert_snapshots(stream: DataFrame, target: str, checkpoint: str, keys: list
     """Keeps the best snapshot per key as lines arrive: each batch is merged with the state and written as a new version.
 
     Snapshots can change after they were seen, so results can't be appended; a version is named by its batch, so a batch
-    that runs again writes the same one.
+    that runs again reads the version before its own and writes the same one.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = latest_state(spark, target)
+        state = latest_state(spark, target, number)
         rows = batch.select(*keys, "line_no", "usage", "valid")
         if state is not None:
             rows = rows.unionByName(state.select(*keys, F.col("line_no"), "usage", "valid"))
