@@ -74,6 +74,23 @@ def trusted_deltas(spark, sf):
     return d.groupBy("session_id").agg(F.count("*").alias("n_units"), F.sum("d_input").alias("input"), F.sum("d_output").alias("output"))
 
 
+def billed_requests(spark, sf):
+    """Every fifth session goes on with another's totals; one report in some sessions is wrong, and in some the first is missing."""
+    from pyspark.sql import Window as W
+
+    e = D.events(spark, sf).select("session_id", "uid", "call_ord", F.col("input").alias("last_input"), F.col("k").alias("last_output"), F.lit(1).alias("last_cache_read"))
+    base = F.when(F.col("uid") % 5 == 0, 700).otherwise(0)
+    first = F.row_number().over(W.partitionBy("session_id").orderBy("call_ord")) == 1
+    wrong = F.when((F.col("uid") % 7 == 3) & (F.col("call_ord") == 4), 1).otherwise(0)
+    both = totals(spark, sf).drop("uid").join(e, ["session_id", "call_ord"]).withColumn("input", F.col("input") + base)
+    both = both.withColumn("last_output", F.when(~(first & (F.col("uid") % 11 == 0)), F.col("last_output") + wrong))
+    d = N.requests(both, "session_id", "call_ord")
+    billed = lambda c: F.coalesce(F.sum(F.when(F.col("consistent"), F.col(f"d_{c}"))), F.lit(0)).cast("long").alias(c)
+    rest = lambda c: F.max(F.when(~F.col("consistent"), F.col(f"over_{c}")).otherwise(0)).cast("long").alias(f"unattributed_{c}")
+    n = F.sum(F.when(F.col("consistent"), 1).otherwise(0)).alias("n_requests")
+    return d.groupBy("session_id", "consistent").agg(n, F.max("base_input").cast("long").alias("inherited_input"), billed("input"), billed("output"), rest("input"), rest("output"))
+
+
 def assistant_turns(spark, sf):
     """A user's message ends the turn."""
     c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", F.col("turn").alias("line_no"), "role", F.length("text").cast("long").alias("n_chars"))
@@ -123,7 +140,7 @@ def compaction_pairs(spark, sf):
     return N.pair_compactions(e.select(F.col("session_id").alias("file"), F.col("call_ord").alias("line_no"), F.col("event_type").alias("form"), F.floor(F.col("turn_index") / 4).cast("long").alias("turn_index"), "ts_ms"), within_ms=10**8)
 
 
-QUERIES = {f.__name__: f for f in (claude_turns, claude_unattributed, claude_compactions, dropped_records, first_lines, snapshot_merge, cumulative_delta, trusted_deltas, assistant_turns, model_in_force, reconcile, usage_validity, incremental_summaries, windowed_usage, gemini_replay, compaction_pairs)}
+QUERIES = {f.__name__: f for f in (claude_turns, claude_unattributed, claude_compactions, dropped_records, first_lines, snapshot_merge, cumulative_delta, trusted_deltas, billed_requests, assistant_turns, model_in_force, reconcile, usage_validity, incremental_summaries, windowed_usage, gemini_replay, compaction_pairs)}
 
 _LINES = """, ln AS (SELECT session_id AS file, call_ord AS line_no, ts_ms, event_id, k, CASE WHEN event_id % 13 > 0 THEN 'm' || (call_ord // 3) END AS id, CASE WHEN event_id % 151 = 3 THEN 'fork-context-ref' WHEN event_id % 53 = 1 THEN 'compact_boundary' ELSE 'assistant' END AS type,
   event_id % 31 <> 7 AS valid, input, k * 3 AS output, CASE WHEN event_id % 2 = 0 THEN event_id % 7 * 100 ELSE 0 END AS cw FROM e WHERE event_id % 211 <> 5),
@@ -147,3 +164,11 @@ ORACLE_SQL = {
     "windowed_usage": SQL + "SELECT ts_ms // 604800000 * 604800000 AS start_ms, model, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, count(*) AS n_units FROM priced GROUP BY ALL",
 }
 ORACLE_SQL["first_lines"] = SQL + _LINES + "SELECT file, type, id FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM ln) WHERE rn = 1"
+ORACLE_SQL["billed_requests"] = SQL + """, s AS (SELECT session_id, uid, call_ord, row_number() OVER w AS rn, input AS ri, CASE WHEN row_number() OVER w = 1 AND uid % 11 = 0 THEN NULL ELSE k + CASE WHEN uid % 7 = 3 AND call_ord = 4 THEN 1 ELSE 0 END END AS ro,
+  CASE WHEN event_type = 'error' THEN 0 ELSE input END AS i, CASE WHEN event_type = 'error' THEN 0 ELSE k END AS o, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS c FROM e WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
+t AS (SELECT *, sum(i) OVER w - CASE WHEN uid % 9 = 0 AND call_ord = 10 THEN 10000000 ELSE 0 END + CASE WHEN uid % 5 = 0 THEN 700 ELSE 0 END AS ti, sum(o) OVER w AS t_o, sum(c) OVER w AS tc FROM s WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
+g AS (SELECT *, ti - lag(ti) OVER w AS gi, t_o - lag(t_o) OVER w AS go, tc - lag(tc) OVER w AS gc FROM t WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
+b AS (SELECT session_id, CASE WHEN ro IS NOT NULL THEN ti - ri ELSE 0 END AS bi, CASE WHEN ro IS NOT NULL THEN t_o - ro ELSE 0 END AS bo, ro IS NOT NULL AND ti >= ri AND t_o >= ro AND tc >= 1 AS opens, coalesce(ro - ro + ri, ri) AS first_i, coalesce(ro, 0) AS first_o FROM g WHERE rn = 1),
+f AS (SELECT session_id, count(*) FILTER (gi <> 0 OR go <> 0 OR gc <> 0) AS n, coalesce(bool_and(coalesce(gi = ri AND go = ro AND gc = 1 AND gi >= 0 AND go >= 0, FALSE)) FILTER (gi <> 0 OR go <> 0 OR gc <> 0), TRUE) AS follows, coalesce(sum(gi), 0) AS si, coalesce(sum(go), 0) AS so, max(ti) AS mi, max(t_o) AS mo FROM g GROUP BY session_id)
+SELECT session_id, opens AND follows AS consistent, CAST(CASE WHEN opens AND follows THEN n + 1 ELSE 0 END AS BIGINT) AS n_requests, CAST(bi AS BIGINT) AS inherited_input, CAST(CASE WHEN opens AND follows THEN first_i + si ELSE 0 END AS BIGINT) AS input, CAST(CASE WHEN opens AND follows THEN first_o + so ELSE 0 END AS BIGINT) AS output,
+  CAST(CASE WHEN opens AND follows THEN 0 ELSE greatest(0, mi - bi) END AS BIGINT) AS unattributed_input, CAST(CASE WHEN opens AND follows THEN 0 ELSE greatest(0, mo - bo) END AS BIGINT) AS unattributed_output FROM b JOIN f USING (session_id)"""

@@ -6,6 +6,7 @@ cut down to what is needed before any shuffle.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,6 +123,7 @@ def claude_compactions(lines: DataFrame) -> DataFrame:
 def cumulative_deltas(snapshots: DataFrame, key: str = "file", order: str = "line_no", counts: tuple[str, ...] = ("input", "output", "cache_read")) -> DataFrame:
     """From running totals to what each request added: a snapshot equal to the one before is none; the first counts whole.
 
+    That fits counters that begin at 0. Where a log may go on with another's totals, see ``requests``.
     ``monotone`` is false where a total fell; then nothing of the key's requests can be trusted (see ``trusted``).
     """
     w = W.partitionBy(key).orderBy(order)
@@ -134,6 +136,32 @@ def cumulative_deltas(snapshots: DataFrame, key: str = "file", order: str = "lin
     return out.withColumn("monotone", monotone).where(changed).drop(*[f"_{x}_{c}" for c in counts for x in "mc"])
 
 
+def requests(snapshots: DataFrame, key: str = "file", order: str = "line_no", counts: tuple[str, ...] = ("input", "output", "cache_read")) -> DataFrame:
+    """From running totals with each request's own report to billed requests, one row a changed snapshot.
+
+    Each count ``c`` has a total and a report ``last_c`` (null: none). The first snapshot bills its report; the rest of its total
+    is ``base_c``, inherited from an earlier log and never billed. Later ones bill what the total grew by (``d_c``); a snapshot
+    equal to the one before is no request, whatever it reports. ``consistent`` is false for all rows of a key if the first has
+    no report above 0 or one above its total, a total falls, or a report is missing or isn't what the total grew by. Such a key
+    has no billable request; ``over_c`` is what its totals reached above the base, to be kept as unattributed.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    every = lambda parts: functools.reduce(lambda x, y: x & y, parts)
+    first = F.lag(F.lit(True), 1, False).over(w) == F.lit(False)
+    reported = F.coalesce(every([F.col(f"last_{c}").isNotNull() for c in counts]) & (sum((F.col(f"last_{c}") for c in counts), F.lit(0)) > 0), F.lit(False))
+    out = snapshots.withColumns({"_first": first, "_reported": reported, **{f"_was_{c}": F.lag(c).over(w) for c in counts}})
+    out = out.withColumns({f"d_{c}": F.when(F.col("_first"), F.coalesce(f"last_{c}", F.lit(0))).otherwise(F.col(c) - F.col(f"_was_{c}")) for c in counts})
+    changed = F.col("_first") | ~every([F.col(f"d_{c}") == 0 for c in counts])
+    opens = every([F.col(c) >= F.col(f"d_{c}") for c in counts])
+    follows = every([(F.col(f"d_{c}") >= 0) & (F.col(f"d_{c}") == F.col(f"last_{c}")) for c in counts])
+    fine = F.when(~changed, True).otherwise(F.col("_reported") & F.when(F.col("_first"), opens).otherwise(F.coalesce(follows, F.lit(False))))
+    base = {f"base_{c}": F.first(F.when(F.col("_reported"), F.col(c) - F.col(f"d_{c}")).otherwise(0)).over(whole) for c in counts}
+    out = out.withColumns({"_changed": changed, "consistent": F.bool_and(fine).over(whole), **base})
+    out = out.withColumns({f"over_{c}": F.greatest(F.lit(0), F.max(c).over(W.partitionBy(key)) - F.col(f"base_{c}")) for c in counts})
+    return out.where("_changed").drop("_first", "_reported", "_changed", *[f"_was_{c}" for c in counts])
+
+
 def trusted(deltas: DataFrame, key: str = "file") -> DataFrame:
     """Rows of keys all of whose snapshots are consistent: one bad row drops the key's requests altogether."""
     return deltas.withColumn("_all", F.bool_and("monotone").over(W.partitionBy(key))).where("_all").drop("_all")

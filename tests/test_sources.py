@@ -186,3 +186,18 @@ def test_sessions_stream_in_order(spark):
             assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_billed_requests(spark):
+    columns = "file string, line_no int, input long, output long, cache_read long, last_input long, last_output long, last_cache_read long"
+    rows = [
+        ("inherited", 1, 100, 20, 5, 10, 2, 0), ("inherited", 2, 100, 20, 5, 10, 2, 0), ("inherited", 3, 130, 25, 5, 30, 5, 0),
+        ("no first report", 1, 100, 20, 5, None, None, None), ("no first report", 2, 130, 25, 5, 30, 5, 0),
+        ("falls", 1, 10, 2, 0, 10, 2, 0), ("falls", 2, 5, 3, 0, 5, 3, 0), ("other report", 1, 10, 2, 0, 10, 2, 0), ("other report", 2, 30, 4, 0, 19, 2, 0), ("above total", 1, 10, 2, 0, 11, 2, 0),
+    ]
+    got = N.requests(spark.createDataFrame(rows, columns)).collect()
+    seen = {(r["file"], r["line_no"]): (r["d_input"], r["d_output"], r["base_input"], r["consistent"]) for r in got}
+    assert seen["inherited", 1] == (10, 2, 90, True) and seen["inherited", 3] == (30, 5, 90, True) and ("inherited", 2) not in seen
+    assert not any(ok for (f, _), (*_, ok) in seen.items() if f != "inherited")
+    assert {r["file"]: r["over_input"] for r in got} == {"inherited": 40, "no first report": 130, "falls": 10, "other report": 30, "above total": 11}
+    assert N.requests(spark.createDataFrame([], columns)).count() == 0
