@@ -12,10 +12,8 @@ from tallyflow.plans.derive import SQL
 
 
 def commit_window_overlap(spark, sf):
-    """Commits are shared by all sessions here, so the band is narrowed to a second and a third of them are taken."""
-    c = D.commits(spark, sf).where("substr(sha, 1, 1) < '5'")
-    s = D.sessions(spark, sf).withColumn("ended_ms", F.col("started_ms") + 60_000)
-    return B.in_commit_window(s, c, band_ms=1000).select("session_id", "started_ms")
+    """All sessions and commits, with the operator's own band."""
+    return B.in_commit_window(D.sessions(spark, sf), D.commits(spark, sf)).select("session_id", "started_ms")
 
 
 def prefix_sha_join(spark, sf):
@@ -27,15 +25,17 @@ def prefix_sha_join(spark, sf):
 
 
 def patch_recovery(spark, sf):
-    side = lambda m, r: D.events(spark, sf).where(f"event_id % {m} = {r}").select(F.md5(F.col("event_id").cast("string").cast("binary")).alias("sha"), (F.col("k") * 31 + F.col("event_id") % 100).alias("patch_id"))
-    return B.recover_by_patch(side(211, 0), side(199, 1))
+    """Every event is a commit, of the branch if its number is odd; two in a row are one patch, but those of every tenth k are all alike."""
+    patch = F.when(F.col("k") % 10 == 0, 0).otherwise(F.floor(F.col("event_id") / 2)).cast("long")
+    c = D.events(spark, sf).select((F.col("event_id") % 2 == 1).alias("on_branch"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("sha"), patch.alias("patch_id"))
+    return B.recover_by_patch(c.where("not on_branch"), c.where("on_branch"))
 
 
 def subject_match(spark, sf):
-    c = D.commits(spark, sf)
-    m = D.events(spark, sf).where("event_id % 307 = 3").select("session_id", F.concat(F.lit("change number "), (F.col("event_id") % 50).cast("string")).alias("subject"))
-    some = c.withColumn("subject", F.concat("subject", F.substring("sha", 1, 1))).where("sha < '6'")
-    return B.match_subjects(m.withColumn("subject", F.concat("subject", F.lit("3"))), some, c.where("sha >= '3f'").select("sha"))
+    """Every event has a message; those of some sessions are alike. The branch's own commits are claimed already."""
+    subject = lambda sha: F.concat(F.lit("change number "), F.substring(sha, 1, 5))
+    c = D.commits(spark, sf).withColumn("subject", subject(F.col("sha")))
+    return B.match_subjects(D.events(spark, sf).select("session_id", subject(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("subject")), c, c.where("own").select("sha"))
 
 
 def child_interval_rollup(spark, sf):
@@ -82,10 +82,10 @@ r AS (SELECT s.session_id, min(s.pico) AS pico, count(child) AS n_children, sum(
 SELECT session_id, n_children, CAST(kp AS DECIMAL(38,0)) AS children_pico, CAST(coalesce(kt, 0) AS BIGINT) AS children_tokens, CAST(CASE WHEN pico IS NOT NULL OR kp IS NOT NULL THEN coalesce(pico, 0) + coalesce(kp, 0) END AS DECIMAL(38,0)) AS combined_pico FROM r"""
 
 ORACLE_SQL = {
-    "commit_window_overlap": SQL + "SELECT session_id, started_ms FROM sessions s WHERE EXISTS (SELECT 1 FROM commits c WHERE c.sha[1:1] < '5' AND c.commit_ms BETWEEN s.started_ms - 1000 AND s.started_ms + 61000)",
+    "commit_window_overlap": SQL + "SELECT session_id, started_ms FROM sessions s WHERE EXISTS (SELECT 1 FROM commits c WHERE c.commit_ms BETWEEN s.started_ms - 900000 AND s.ended_ms + 900000)",
     "prefix_sha_join": SQL + ", c AS (SELECT sha FROM commits UNION ALL SELECT sha[1:20] || repeat('0', 12) FROM commits WHERE sha < '2'), runs AS (SELECT upper(sha[1:9]) AS run FROM commits UNION ALL SELECT reverse(sha[1:9]) FROM commits WHERE sha > 'd'), m AS (SELECT run, count(DISTINCT sha) AS n, min(sha) AS sha FROM (SELECT DISTINCT run FROM runs) r JOIN c ON starts_with(sha, lower(run)) GROUP BY run) SELECT r.run, coalesce(n, 0) AS n_matches, CASE WHEN n = 1 THEN sha END AS sha FROM runs r LEFT JOIN m ON r.run = m.run",
-    "patch_recovery": SQL + ", a AS (SELECT k * 31 + event_id % 100 AS patch_id, min(md5(CAST(event_id AS VARCHAR))) AS orphan_sha FROM e WHERE event_id % 211 = 0 GROUP BY 1 HAVING count(*) = 1), b AS (SELECT k * 31 + event_id % 100 AS patch_id, min(md5(CAST(event_id AS VARCHAR))) AS sha FROM e WHERE event_id % 199 = 1 GROUP BY 1 HAVING count(*) = 1) SELECT patch_id, orphan_sha, sha FROM a JOIN b USING (patch_id)",
-    "subject_match": SQL + ", c AS (SELECT sha, subject || sha[1:1] AS subject FROM commits WHERE sha < '6'), m AS (SELECT subject, min(session_id) AS session_id FROM (SELECT DISTINCT session_id, 'change number ' || (event_id % 50) || '3' AS subject FROM e WHERE event_id % 307 = 3) GROUP BY subject HAVING count(*) = 1), o AS (SELECT subject FROM c GROUP BY subject HAVING count(*) = 1) SELECT m.session_id, sha FROM c JOIN o USING (subject) JOIN m USING (subject) WHERE sha < '3f' AND length(subject) >= 12",
+    "patch_recovery": SQL + ", p AS (SELECT md5(CAST(event_id AS VARCHAR)) AS sha, event_id % 2 = 1 AS b, CAST(CASE WHEN k % 10 = 0 THEN 0 ELSE event_id // 2 END AS BIGINT) AS patch_id FROM e), o AS (SELECT patch_id, any_value(sha) AS orphan_sha FROM p WHERE NOT b GROUP BY 1 HAVING count(*) = 1), m AS (SELECT patch_id, any_value(sha) AS sha FROM p WHERE b GROUP BY 1 HAVING count(*) = 1) SELECT patch_id, orphan_sha, sha FROM o JOIN m USING (patch_id)",
+    "subject_match": SQL + ", c AS (SELECT sha, own, 'change number ' || sha[1:5] AS subject, count(*) OVER (PARTITION BY sha[1:5]) AS n FROM commits), m AS (SELECT 'change number ' || md5(CAST(event_id AS VARCHAR))[1:5] AS subject, min(session_id) AS session_id FROM e GROUP BY 1 HAVING min(session_id) = max(session_id)) SELECT session_id, sha FROM c JOIN m USING (subject) WHERE NOT own AND n = 1",
     "child_interval_rollup": SQL + _KIDS.format(shift=100, more=""),
     "exclude_children": SQL + _KIDS.format(shift=1000, more="AND tokens % 2 <> 0") + " WHERE n_children > 0",
     "promote_orphans": SQL + "SELECT session_id, parent_id FROM sessions s WHERE is_sidechain AND parent_id IS NOT NULL AND tokens % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM sessions p WHERE p.session_id = s.parent_id AND NOT p.is_sidechain AND p.parent_id IS NULL AND p.tokens % 2 = 0)",
