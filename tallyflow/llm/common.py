@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a large narrow table with a written one in the shared folder; unlike a checkpoint it is compressed."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A narrow side of a join, stored and counted: it is broadcast if it has at most ``most`` rows, else shuffled."""
     df = cut(df)
