@@ -34,6 +34,8 @@ LEAST_TEXTS, LEAST_LIFT = 5, 12.0
 LEAST_SHARE = 0.25
 #: Parts of the labelled rows; the weights see each with a lexicon of the others.
 FOLDS = 4
+#: An automaton of more states than these begins anew; it changes no match.
+MOST_STATES = 150_000
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 REPORTING = frozenset("said says say called calls wrote writes quoted quote quoting word words term slur dijo escribió palabra dit mot écrit sagte schrieb wort".split())
@@ -69,6 +71,10 @@ class FuzzyTrie:
                 self.reach[at] = max(self.reach[at], k)
             self.ends[at].append((term, stem))
         self.letters = {c for step in self.next for c in step}
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forgets all states but the first; they are made anew as words ask for them."""
         start = self._closed({0: 0})
         self.states: dict[frozenset, int] = {start: 0}
         self.sets = [start]
@@ -115,6 +121,8 @@ class FuzzyTrie:
         return self.states[found]
 
     def match(self, word: str) -> tuple[str, int] | None:
+        if len(self.sets) > MOST_STATES:
+            self._begin()
         state, best = 0, None
         steps, letters = self.steps, self.letters
         for c in word:
@@ -284,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     *folds, whole = [Model(terms) for terms in learn_terms(sample)]
     if not whole.terms:
         return whole
-    seen = sample.mapInArrow(_featured(folds), f"y double, fold int, {_FEATURES}").drop("fold").collect()
+    seen = sample.sortWithinPartitions("fold").mapInArrow(_featured(folds), f"y double, fold int, {_FEATURES}").drop("fold").collect()
     if len({r["y"] for r in seen}) == 2:
         data = np.array(seen, dtype=float)
         whole.weights = fit_weights(data[:, 1:], data[:, 0])
@@ -295,17 +303,22 @@ _FEATURES = ", ".join(f"f{k} double" for k in range(6))
 
 
 def _featured(models: list[Model]):
-    """Batches of (text, a column to carry, number of the model) to the latter two and the features."""
+    """Batches of (text, a column to carry, number of the model) to the latter two and the features.
+
+    One model's automaton is held at a time, so rows should come in the order of their models.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [matcher(m) for m in models]
+        at, find = None, None
         for b in slices(batches, 0):
             which = b.column(2).to_numpy()
             values = np.zeros((b.num_rows, 6))
-            for v, model in enumerate(models):
+            for v in np.unique(which).tolist():
+                if v != at:
+                    find = None  # the last model's automaton goes before the next one's grows
+                    at, find = v, matcher(models[v])
                 mine = np.flatnonzero(which == v)
-                if len(mine):
-                    values[mine] = features(b.column(0).take(pa.array(mine)), found[v], model)
+                values[mine] = features(b.column(0).take(pa.array(mine)), find, models[v])
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *[pa.array(values[:, k]) for k in range(6)]], [*b.schema.names[1:], *[f"f{k}" for k in range(6)]])
 
     return run
