@@ -64,3 +64,20 @@ def peak_turn(turns: DataFrame) -> DataFrame:
 def prices_used(priced: DataFrame) -> DataFrame:
     """The distinct (vendor, model, from_date) that prices were taken from, with the days they served."""
     return priced.where("pico is not null").select("session_id", "vendor", "model", F.col("price.from_date").alias("from_date"), "day").dropDuplicates()
+
+
+def tool_order(rows: DataFrame, by: list[str], money: str = "pico") -> DataFrame:
+    """Adds the long ``rank`` of a receipt's tool rows within ``by``: priced rows first, then most money, most tokens, by name."""
+    order = W.partitionBy(*by).orderBy(F.col(money).desc_nulls_last(), F.col("tokens").desc_nulls_last(), "tool")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def rows_of_all(known: DataFrame, units: DataFrame, key: str) -> DataFrame:
+    """(key, n_sessions, n_units, tokens) for every row of ``known``: one without usage gets zeros, usage of an unknown key is left out.
+
+    ``known`` is a narrow list of keys. Usage is summed before the join, so what is joined has a row a key.
+    """
+    of_session = units.groupBy(key, "session_id").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+    seen = of_session.groupBy(key).agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_units"), F.sum("total").alias("tokens"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_sessions", "n_units", "tokens")]
+    return known.select(key).distinct().join(seen, key, "left").select(key, *zero)

@@ -55,6 +55,17 @@ def tool_attribution(spark, sf):
     return t.groupBy("tool").agg(F.sum("n_calls").alias("n_calls"), F.round(F.sum("pico").cast("double") / 1e12, 7).alias("usd"), F.round(F.sum("tokens").cast("double"), 1).alias("tokens"), F.count("pico").alias("n_priced"))
 
 
+def tool_rows(spark, sf):
+    """The tools' rows in the order in which a receipt lists them."""
+    return A.tool_order(tool_attribution(spark, sf), [], "usd").select("rank", "tool", "usd", "tokens")
+
+
+def vendor_rows(spark, sf):
+    """All vendors that there are adapters for, those without a request too."""
+    known = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "vendor string")
+    return A.rows_of_all(known, D.units(spark, sf).withColumn("vendor", D.vendor()), "vendor")
+
+
 def session_totals(spark, sf):
     return A.session_totals(turns(spark, sf)).withColumn("coverage", A.coverage()).select("session_id", "pico", "tokens", "unpriced_tokens", "n_turns", "n_unpriced_turns", "write_floor", "read_floor", "coverage")
 
@@ -106,7 +117,9 @@ def token_formats(spark, sf):
     return t.select("session_id", "turn_index", X.short_tokens(F.col("total")).alias("short"), X.bucket(F.col("total"), [1000, 5000, 20000], names).alias("bucket"), X.share(F.col("cache_read"), F.col("total")).alias("cached"))
 
 
-QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, token_formats)}
+QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, tool_rows, vendor_rows, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, token_formats)}
+
+TOOLS = ", n AS (SELECT session_id, turn_index, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT t.session_id, coalesce(name, '(thinking/reply)') AS tool, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS k, CAST(pico AS DOUBLE) / coalesce(n, 1) AS pico, CAST(total AS DOUBLE) / coalesce(n, 1) AS tokens FROM turns t LEFT JOIN n USING (session_id, turn_index) LEFT JOIN calls c USING (session_id, turn_index)), p AS (SELECT session_id, tool, sum(k) AS k, sum(pico) AS pico, sum(tokens) AS tokens FROM s GROUP BY ALL), r AS (SELECT tool, CAST(sum(k) AS BIGINT) AS n_calls, round(sum(pico) / 1e12, 7) AS usd, round(sum(tokens), 1) AS tokens, count(pico) AS n_priced FROM p GROUP BY tool)"
 
 ORACLE_SQL = {
     "price_units_by_model": SQL + "SELECT model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(CASE WHEN pico IS NULL THEN total ELSE 0 END) AS BIGINT) AS unpriced_tokens, count(*) AS n_units FROM priced GROUP BY model",
@@ -114,7 +127,9 @@ ORACLE_SQL = {
     "tier_boundary": SQL + "SELECT c_r_in > row_in AS upper, model, count(*) AS n_units, min(input + cache_read + cache_creation) AS least_prompt, max(input + cache_read + cache_creation) AS most_prompt, CAST(sum(pico) AS DECIMAL(38,0)) AS pico FROM priced WHERE vendor = 'beta' AND pico IS NOT NULL GROUP BY ALL",
     "price_turns": SQL + "SELECT session_id, turn_index, CAST(pico AS DECIMAL(38,0)) AS pico, CAST(total AS BIGINT) AS total, CAST(unpriced_tokens AS BIGINT) AS unpriced_tokens, n_units, n_priced, complete, write_floor, read_floor FROM turns",
     "envelope_units": SQL + ", w AS (SELECT session_id, turn_index, count(*) AS n, sum(total) AS total FROM units GROUP BY ALL) SELECT session_id, CAST(sum(CASE WHEN turn_index % 7 = 6 THEN 1 ELSE n END) AS BIGINT) AS n_units, CAST(sum(total + CASE WHEN turn_index % 5 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS tokens, count(*) AS n_turns FROM w WHERE turn_index % 7 = 6 OR turn_index % 5 <> 4 GROUP BY session_id",
-    "tool_attribution": SQL + ", n AS (SELECT session_id, turn_index, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT t.session_id, coalesce(name, '(thinking/reply)') AS tool, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS k, CAST(pico AS DOUBLE) / coalesce(n, 1) AS pico, CAST(total AS DOUBLE) / coalesce(n, 1) AS tokens FROM turns t LEFT JOIN n USING (session_id, turn_index) LEFT JOIN calls c USING (session_id, turn_index)), p AS (SELECT session_id, tool, sum(k) AS k, sum(pico) AS pico, sum(tokens) AS tokens FROM s GROUP BY ALL) SELECT tool, CAST(sum(k) AS BIGINT) AS n_calls, round(sum(pico) / 1e12, 7) AS usd, round(sum(tokens), 1) AS tokens, count(pico) AS n_priced FROM p GROUP BY tool",
+    "tool_attribution": SQL + TOOLS + " SELECT tool, n_calls, usd, tokens, n_priced FROM r",
+    "tool_rows": SQL + TOOLS + " SELECT row_number() OVER (ORDER BY usd IS NULL, usd DESC, tokens DESC, tool) AS rank, tool, usd, tokens FROM r",
+    "vendor_rows": SQL + ", s AS (SELECT vendor, count(DISTINCT session_id) AS n_sessions, count(*) AS n_units, sum(total) AS tokens FROM units GROUP BY vendor) SELECT v AS vendor, CAST(coalesce(n_sessions, 0) AS BIGINT) AS n_sessions, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens FROM (VALUES ('alpha'), ('beta'), ('gamma')) x(v) LEFT JOIN s ON v = vendor",
     "session_totals": SQL + "SELECT session_id, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(unpriced_tokens) AS BIGINT) AS unpriced_tokens, count(*) AS n_turns, CAST(count(*) - sum(CAST(complete AS INT)) AS BIGINT) AS n_unpriced_turns, bool_or(write_floor) AS write_floor, bool_or(read_floor) AS read_floor, CASE WHEN sum(pico) IS NULL THEN 'unpriced' WHEN sum(unpriced_tokens) > 0 THEN 'partial' ELSE 'full' END AS coverage FROM turns GROUP BY session_id",
     "cost_by_session_model": SQL + "SELECT session_id, model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens FROM priced WHERE pico IS NOT NULL GROUP BY ALL",
     "model_mix": SQL + ", g AS (SELECT 'g' || (CAST(session_id AS INT) % 7) AS session_id, model, sum(total) AS tokens FROM units GROUP BY ALL) SELECT session_id, model, CAST(tokens AS BIGINT) AS tokens, round(tokens / sum(tokens) OVER (PARTITION BY session_id), 6) AS share, row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, model) AS rank FROM g",

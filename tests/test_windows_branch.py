@@ -94,3 +94,20 @@ def test_patches_subjects_and_promotion(spark):
     assert [tuple(r) for r in B.match_subjects(said, commits, commits.where("sha = 'c4'")).collect()] == [("s1", "c1")]
     kids = spark.createDataFrame([("k1", "p1"), ("k2", "p2"), ("k3", "p2")], "session_id string, parent_id string")
     assert [r["session_id"] for r in B.promote(kids, kids.where("session_id = 'k3'"), spark.createDataFrame([("p1",)], "session_id string")).collect()] == ["k2"]
+
+
+def test_tool_order(spark):
+    from tallyflow.operators.attribution import tool_order
+
+    rows = [("s", "b", 5, 1), ("s", "a", 5, 1), ("s", "c", None, 99), ("s", "d", 5, 2), ("t", "e", None, None), (None, "f", 0, 0)]
+    got = tool_order(spark.createDataFrame(rows, "session_id string, tool string, pico long, tokens long"), ["session_id"])
+    assert {(r.session_id, r.tool): r["rank"] for r in got.collect()} == {("s", "d"): 1, ("s", "a"): 2, ("s", "b"): 3, ("s", "c"): 4, ("t", "e"): 1, (None, "f"): 1}
+
+
+def test_rows_of_all(spark):
+    from tallyflow.operators.attribution import rows_of_all
+
+    units = spark.createDataFrame([("a", "s", 1), ("a", "s", 2), ("a", "t", None), ("x", "s", 9), (None, "s", 9)], "vendor string, session_id string, total long")
+    known = spark.createDataFrame([("a",), ("b",), ("b",)], "vendor string")
+    assert sorted(map(tuple, rows_of_all(known, units, "vendor").collect())) == [("a", 2, 3, 3), ("b", 0, 0, 0)]
+    assert sorted(map(tuple, rows_of_all(known, units.limit(0), "vendor").collect())) == [("a", 0, 0, 0), ("b", 0, 0, 0)]
