@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyflow.llm import centroids, decontamination, divergence, html_text, packing, passages, pii, quality, sharding, simhash, tokens, toxicity
+from tallyflow.llm import centroids, decontamination, divergence, html_text, jaccard, packing, passages, pii, quality, sharding, simhash, tokens, toxicity
 
-MODULES = (sharding, html_text, quality, simhash, toxicity, tokens, packing, pii, passages, decontamination, divergence, centroids)
+MODULES = (sharding, html_text, quality, simhash, toxicity, tokens, packing, pii, passages, decontamination, jaccard, divergence, centroids)
 
 
 def queries():
