@@ -83,8 +83,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A commit for some events: its SHA is the md5 of the id."""
-    e = events(spark, sf_dir).where("event_id % 101 = 5")
+    """A commit for every purchase: its SHA is the md5 of the id."""
+    e = events(spark, sf_dir).where("event_type = 'purchase'")
     return e.select(F.md5(F.col("event_id").cast("string").cast("binary")).alias("sha"), F.col("ts_ms").alias("commit_ms"), "session_id", "turn_index", "ts_ms", F.concat(F.lit("change number "), (F.col("event_id") % 50).cast("string")).alias("subject"), (F.col("uid") % 2 == 0).alias("own"))
 
 
@@ -125,7 +125,7 @@ compactions AS (SELECT DISTINCT session_id, turn_index FROM e WHERE event_id % 1
 parts AS (SELECT uid, call_ord // 8 AS part, min(ts_ms) AS started_ms, max(ts_ms) AS ended_ms, sum(input + k * 7) AS tokens, sum(CASE WHEN event_id % 9 > 0 THEN input * 3 END) AS pico, sum(CASE WHEN event_id % 9 = 0 THEN input ELSE 0 END) AS unpriced_tokens FROM e GROUP BY ALL),
 sessions AS (SELECT uid || '-' || part AS session_id, started_ms, ended_ms, tokens, CASE WHEN uid % 10 <> 7 THEN pico END AS pico, CASE WHEN uid % 2 = 0 THEN 0 ELSE unpriced_tokens END AS unpriced_tokens, 'src' || (uid % 3) AS source,
   '/home/u/proj' || (uid % 6) || '/' AS cwd, part % 5 = 4 AS is_sidechain, CASE WHEN part % 5 = 4 THEN uid || '-' || (part - 1) END AS parent_id, 'Title ' || uid || ' of ' || part AS title FROM parts),
-commits AS (SELECT md5(CAST(event_id AS VARCHAR)) AS sha, ts_ms AS commit_ms, session_id, turn_index, ts_ms, 'change number ' || (event_id % 50) AS subject, uid % 2 = 0 AS own FROM e WHERE event_id % 101 = 5),
+commits AS (SELECT md5(CAST(event_id AS VARCHAR)) AS sha, ts_ms AS commit_ms, session_id, turn_index, ts_ms, 'change number ' || (event_id % 50) AS subject, uid % 2 = 0 AS own FROM e WHERE event_type = 'purchase'),
 cheapest AS (SELECT b_vendor, b_model, from_date, {", ".join(_RATES)}, t_above, {", ".join("t_" + r for r in _RATES)} FROM (SELECT *, row_number() OVER (PARTITION BY b_vendor ORDER BY r_in, file_ord) AS rn FROM book WHERE to_date IS NULL) WHERE rn = 1),
 repriced AS (SELECT *, {_cost(rates="d_")} AS least FROM (SELECT p.*, c.r_in AS cheap_in, {", ".join(f"CASE WHEN t_above < input + cache_read + cache_creation THEN t_{r} ELSE c.{r} END AS d_{r}" for r in _RATES)} FROM priced p LEFT JOIN cheapest c ON vendor = b_vendor))
 """

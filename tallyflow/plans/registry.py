@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyflow.plans import branches, cost, patterns, periods, transcripts
+from tallyflow.plans import branches, cost, git_work, patterns, periods, transcripts
 
-MODULES = (cost, patterns, periods, branches, transcripts)
+MODULES = (cost, patterns, periods, branches, git_work, transcripts)
 
 
 def queries():
