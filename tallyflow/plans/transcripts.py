@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyflow.functions import usage as U
+from tallyflow.sources import codex as X
 from tallyflow.sources import jsonl as J
 from tallyflow.sources import normalize as N
 from tallyflow.plans import derive as D
@@ -91,6 +92,44 @@ def billed_requests(spark, sf):
     return d.groupBy("session_id", "consistent").agg(n, F.max("base_input").cast("long").alias("inherited_input"), billed("input"), billed("output"), rest("input"), rest("output"))
 
 
+def total_lines(spark, sf):
+    """JSON lines of running totals and reports, a line an event, by the session's number modulo 12.
+
+    0 is plain; 1 goes on with another log's total; 2 begins with a total of 0; 3 has a single message's usage first, 6 no totals at
+    all but such messages; 4 has a count in words, 5 a broken line, 7 no first report, 8 a report alone, 9 a total that falls;
+    10 repeats totals with their report, 11 states more reasoning than output. Sign-ups are messages of the user.
+    """
+    from pyspark.sql import Window as W
+
+    e = D.events(spark, sf).withColumn("kind", F.col("uid") % 12)
+    w = W.partitionBy("session_id").orderBy("call_ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    user, again = F.col("event_type") == "signup", (F.col("kind") == 10) & (F.col("event_type") == "error")
+    step = lambda c: F.when(user | again, 0).otherwise(c)
+    at = lambda k, ord: (F.col("kind") == k) & (F.col("call_ord") == ord)
+    start = F.when(F.col("kind") == 1, 700).otherwise(0)
+    e = e.select("*", (F.sum(step(F.col("input") + F.col("k") % 3)).over(w) + start - F.when(at(9, 4), 1_000_000).otherwise(0)).alias("t_in"), (F.sum(step(F.col("k") % 3)).over(w)).alias("t_cached"), F.sum(step(F.col("k"))).over(w).alias("t_out"))
+    text = lambda c: c.cast("string")
+    use = lambda i, c, o, more="": F.concat(F.lit('{"input_tokens":'), text(i), F.lit(',"cached_input_tokens":'), text(c), F.lit(',"output_tokens":'), text(o), F.lit(more + "}"))
+    l_in, l_cached, l_out = F.col("input") + F.col("k") % 3, F.col("k") % 3, F.col("k")
+    zero = (F.col("kind") == 2) & (F.col("call_ord") == 0)
+    total = F.when(at(4, 3), F.lit('{"input_tokens":"many"}')).when(at(11, 2), use(F.col("t_in"), F.col("t_cached"), F.col("t_out"), ',"reasoning_output_tokens":999999999')).otherwise(use(F.greatest(F.lit(0), "t_in"), F.col("t_cached"), F.col("t_out")))
+    last = F.when((F.col("kind") == 7) & (F.col("call_ord") == 0), F.lit("")).otherwise(F.concat(F.lit(',"last_token_usage":'), use(l_in, l_cached, l_out)))
+    info = F.when(zero, F.lit('"total_token_usage":{"input_tokens":0}')).when(at(8, 3), F.concat(F.lit('"last_token_usage":'), use(l_in, l_cached, l_out))).otherwise(F.concat(F.lit('"total_token_usage":'), total, last))
+    single = (F.col("kind") == 6) | at(3, 0)
+    line = F.when(at(5, 2), F.lit("{broken")).when(user, F.lit('{"payload":{"type":"user_message","message":"x"}}')).when(single, F.concat(F.lit('{"payload":{"type":"message","usage":'), use(l_in, l_cached, l_out), F.lit("}}")))
+    line = line.otherwise(F.concat(F.lit('{"payload":{"type":"token_count","model":"alpha-large","info":{'), info, F.lit("}}}")))
+    return e.select(F.col("session_id").alias("file"), F.col("call_ord").alias("line_no"), line.alias("line"))
+
+
+def codex_evidence(spark, sf):
+    """Which logs prove their requests, and what they come to."""
+    return X.evidence(total_lines(spark, sf)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def codex_requests(spark, sf):
+    return X.units(total_lines(spark, sf)).select("file", "line_no", "turn_index", "input", "output", "cache_read")
+
+
 def assistant_turns(spark, sf):
     """A user's message ends the turn."""
     c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", F.col("turn").alias("line_no"), "role", F.length("text").cast("long").alias("n_chars"))
@@ -140,14 +179,44 @@ def compaction_pairs(spark, sf):
     return N.pair_compactions(e.select(F.col("session_id").alias("file"), F.col("call_ord").alias("line_no"), F.col("event_type").alias("form"), F.floor(F.col("turn_index") / 4).cast("long").alias("turn_index"), "ts_ms"), within_ms=10**8)
 
 
-QUERIES = {f.__name__: f for f in (claude_turns, claude_unattributed, claude_compactions, dropped_records, first_lines, snapshot_merge, cumulative_delta, trusted_deltas, billed_requests, assistant_turns, model_in_force, reconcile, usage_validity, incremental_summaries, windowed_usage, gemini_replay, compaction_pairs)}
+QUERIES = {f.__name__: f for f in (claude_turns, claude_unattributed, claude_compactions, dropped_records, first_lines, snapshot_merge, cumulative_delta, trusted_deltas, billed_requests, codex_evidence, codex_requests, assistant_turns, model_in_force, reconcile, usage_validity, incremental_summaries, windowed_usage, gemini_replay, compaction_pairs)}
 
 _LINES = """, ln AS (SELECT session_id AS file, call_ord AS line_no, ts_ms, event_id, k, CASE WHEN event_id % 13 > 0 THEN 'm' || (call_ord // 3) END AS id, CASE WHEN event_id % 151 = 3 THEN 'fork-context-ref' WHEN event_id % 53 = 1 THEN 'compact_boundary' ELSE 'assistant' END AS type,
   event_id % 31 <> 7 AS valid, input, k * 3 AS output, CASE WHEN event_id % 2 = 0 THEN event_id % 7 * 100 ELSE 0 END AS cw FROM e WHERE event_id % 211 <> 5),
 fk AS (SELECT *, max(CASE WHEN type = 'fork-context-ref' THEN line_no END) OVER (PARTITION BY file) AS fork FROM ln), own AS (SELECT *, coalesce(id, 'line:' || line_no) AS key FROM fk WHERE fork IS NULL OR line_no > fork),
 a AS (SELECT * FROM own WHERE type = 'assistant'), tk AS (SELECT file, key, min(line_no) AS l, arg_min(ts_ms, line_no) AS ts_ms, bool_or(id IS NOT NULL) AS named FROM a GROUP BY ALL),
 bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, key ORDER BY valid DESC, CASE WHEN valid THEN output ELSE -1 END DESC, line_no DESC) AS rn FROM a WHERE id IS NOT NULL) WHERE rn = 1)"""
+#: The lines of ``total_lines`` as numbers, and the rules on them: r are all records, c those with a running total, m the single messages.
+_CODEX = SQL + """, x AS (SELECT *, uid % 12 AS kind, event_type = 'signup' AS usr, uid % 12 = 10 AND event_type = 'error' AS again, input + k % 3 AS l_in, k % 3 AS l_c, k AS l_out FROM e),
+y AS (SELECT *, CASE WHEN kind = 1 THEN 700 ELSE 0 END + sum(CASE WHEN usr OR again THEN 0 ELSE l_in END) OVER w - CASE WHEN kind = 9 AND call_ord = 4 THEN 1000000 ELSE 0 END AS ti, sum(CASE WHEN usr OR again THEN 0 ELSE l_c END) OVER w AS tc, sum(CASE WHEN usr OR again THEN 0 ELSE l_out END) OVER w AS tout
+  FROM x WINDOW w AS (PARTITION BY uid ORDER BY call_ord ROWS UNBOUNDED PRECEDING)),
+r AS MATERIALIZED (SELECT session_id AS file, call_ord AS line_no, kind, usr, l_in - l_c AS li, l_c AS lc, l_out AS lo, NOT (kind = 6 OR (kind = 3 AND call_ord = 0)) AND NOT usr AS info, (kind = 6 OR (kind = 3 AND call_ord = 0)) AND NOT usr AS msg, kind = 5 AND call_ord = 2 AS broken,
+  (kind = 4 AND call_ord = 3) OR (kind = 11 AND call_ord = 2) OR (greatest(0, ti) < tc) AS bad_total, kind = 2 AND call_ord = 0 AS zero, kind = 8 AND call_ord = 3 AS alone, NOT ((kind = 7 AND call_ord = 0) OR (kind = 2 AND call_ord = 0)) AS has_last, greatest(0, ti) - tc AS ti, tc, tout AS tout FROM y),
+good AS (SELECT * FROM r WHERE NOT broken AND NOT usr),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS n, lag(ti) OVER v AS pi, lag(tc) OVER v AS pc, lag(tout) OVER v AS po, has_last AND li + lc + lo > 0 AS rep FROM good WHERE info AND NOT zero AND NOT alone AND NOT bad_total AND ti + tc + tout > 0 WINDOW v AS (PARTITION BY file ORDER BY line_no)),
+base AS (SELECT file, CASE WHEN rep THEN greatest(0, ti - li) ELSE 0 END AS bi, CASE WHEN rep THEN greatest(0, tc - lc) ELSE 0 END AS bc, CASE WHEN rep THEN greatest(0, tout - lo) ELSE 0 END AS bo FROM c WHERE n = 1),
+m AS (SELECT g.* FROM good g WHERE msg AND li + lc + lo > 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.file = g.file AND c.line_no <= g.line_no)),
+q AS MATERIALIZED (SELECT file, line_no, CASE WHEN n > 1 THEN ti - pi WHEN has_last THEN li ELSE 0 END AS input, CASE WHEN n > 1 THEN tout - po WHEN has_last THEN lo ELSE 0 END AS output, CASE WHEN n > 1 THEN tc - pc WHEN has_last THEN lc ELSE 0 END AS cache_read FROM c WHERE n = 1 OR ti <> pi OR tc <> pc OR tout <> po UNION ALL SELECT file, line_no, li, lo, lc FROM m),
+faults AS (SELECT DISTINCT file, 'dropped' AS reason FROM r WHERE broken
+ UNION SELECT file, 'malformed' FROM good WHERE info AND bad_total AND NOT zero AND NOT alone
+ UNION SELECT file, 'mixed' FROM m WHERE EXISTS (SELECT 1 FROM c WHERE c.file = m.file)
+ UNION SELECT file, 'report-alone' FROM good WHERE info AND NOT zero AND has_last AND (alone OR bad_total OR (ti + tc + tout = 0 AND li + lc + lo > 0))
+ UNION SELECT file, 'totals' FROM c WHERE (n = 1 AND (NOT rep OR ti < li OR tc < lc OR tout < lo)) OR (n > 1 AND (ti <> pi OR tc <> pc OR tout <> po) AND (NOT rep OR ti - pi <> li OR tc - pc <> lc OR tout - po <> lo)))"""
+
 ORACLE_SQL = {
+    "codex_evidence": _CODEX + """, seen AS (SELECT file, line_no, 0 AS p, li AS i, lo AS o, lc AS c FROM good WHERE info AND NOT zero AND has_last AND li + lc + lo > 0
+ UNION ALL SELECT file, line_no, 1, greatest(0, ti - bi), greatest(0, tout - bo), greatest(0, tc - bc) FROM c JOIN base USING (file) UNION ALL SELECT file, line_no, 2, li, lo, lc FROM m),
+most AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY file ORDER BY i + o + c DESC, line_no, p) = 1),
+ends AS (SELECT file, i, o, c FROM seen WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) = 1 UNION ALL SELECT file, sum(i), sum(o), sum(c) FROM seen s WHERE p = 2 AND NOT EXISTS (SELECT 1 FROM c WHERE c.file = s.file) GROUP BY file),
+f AS (SELECT file, string_agg(reason, ',' ORDER BY reason) AS reasons FROM faults GROUP BY file),
+s AS (SELECT file, count(*) FILTER (input + output + cache_read > 0) AS n, sum(input) AS i, sum(output) AS o, sum(cache_read) AS c FROM q GROUP BY file),
+k AS (SELECT DISTINCT file FROM good WHERE info OR msg)
+SELECT file, coalesce(reasons, '') AS reasons, CASE WHEN reasons IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_requests,
+  CAST(CASE WHEN reasons IS NULL THEN coalesce(s.i, 0) WHEN e2.i + e2.o + e2.c >= m2.i + m2.o + m2.c THEN e2.i ELSE coalesce(m2.i, 0) END AS BIGINT) AS input, CAST(CASE WHEN reasons IS NULL THEN coalesce(s.o, 0) WHEN e2.i + e2.o + e2.c >= m2.i + m2.o + m2.c THEN e2.o ELSE coalesce(m2.o, 0) END AS BIGINT) AS output,
+  CAST(CASE WHEN reasons IS NULL THEN coalesce(s.c, 0) WHEN e2.i + e2.o + e2.c >= m2.i + m2.o + m2.c THEN e2.c ELSE coalesce(m2.c, 0) END AS BIGINT) AS cache_read, CAST(coalesce(bi + bc + bo, 0) AS BIGINT) AS inherited
+FROM k LEFT JOIN f USING (file) LEFT JOIN s USING (file) LEFT JOIN base USING (file) LEFT JOIN ends e2 USING (file) LEFT JOIN most m2 USING (file)""",
+    "codex_requests": _CODEX + """, t AS (SELECT file, line_no, sum(CASE WHEN usr THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS island, usr FROM r WHERE NOT broken), u AS (SELECT file, line_no, dense_rank() OVER (PARTITION BY file ORDER BY island) - 1 AS turn_index FROM t WHERE NOT usr)
+SELECT file, line_no, turn_index, CAST(input AS BIGINT) AS input, CAST(output AS BIGINT) AS output, CAST(cache_read AS BIGINT) AS cache_read FROM q JOIN u USING (file, line_no) WHERE input + output + cache_read > 0 AND file NOT IN (SELECT file FROM faults)""",
     "claude_turns": SQL + _LINES + "SELECT tk.file, row_number() OVER (PARTITION BY tk.file ORDER BY l) - 1 AS turn_index, tk.key, tk.ts_ms, CASE WHEN NOT named THEN 'none' WHEN valid THEN 'implicit' ELSE 'explicit' END AS units_state, CASE WHEN valid THEN input END AS input, CASE WHEN valid THEN output END AS output, CASE WHEN valid THEN cw END AS cache_creation, CASE WHEN valid THEN input + output + cw END AS total FROM tk LEFT JOIN bs USING (file, key)",
     "claude_unattributed": SQL + _LINES + "SELECT file, valid, output FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY valid DESC, CASE WHEN valid THEN output ELSE -1 END DESC, line_no DESC) AS rn FROM a WHERE id IS NULL) WHERE rn = 1",
     "claude_compactions": SQL + _LINES + ", n AS (SELECT *, (SELECT count(*) FROM tk WHERE tk.file = own.file AND tk.l < own.line_no) AS t FROM own WHERE type = 'compact_boundary') SELECT file, t AS turn_index, arg_min(ts_ms, line_no) AS ts_ms FROM n GROUP BY ALL",
@@ -167,7 +236,8 @@ ORACLE_SQL["first_lines"] = SQL + _LINES + "SELECT file, type, id FROM (SELECT *
 ORACLE_SQL["billed_requests"] = SQL + """, s AS (SELECT session_id, uid, call_ord, row_number() OVER w AS rn, input AS ri, CASE WHEN row_number() OVER w = 1 AND uid % 11 = 0 THEN NULL ELSE k + CASE WHEN uid % 7 = 3 AND call_ord = 4 THEN 1 ELSE 0 END END AS ro,
   CASE WHEN event_type = 'error' THEN 0 ELSE input END AS i, CASE WHEN event_type = 'error' THEN 0 ELSE k END AS o, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS c FROM e WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
 t AS (SELECT *, sum(i) OVER w - CASE WHEN uid % 9 = 0 AND call_ord = 10 THEN 10000000 ELSE 0 END + CASE WHEN uid % 5 = 0 THEN 700 ELSE 0 END AS ti, sum(o) OVER w AS t_o, sum(c) OVER w AS tc FROM s WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
-g AS (SELECT *, ti - lag(ti) OVER w AS gi, t_o - lag(t_o) OVER w AS go, tc - lag(tc) OVER w AS gc FROM t WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
+z AS (SELECT * REPLACE (row_number() OVER w AS rn) FROM t WHERE NOT (ti = 0 AND t_o = 0 AND tc = 0 AND ro IS NULL) WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
+g AS (SELECT *, ti - lag(ti) OVER w AS gi, t_o - lag(t_o) OVER w AS go, tc - lag(tc) OVER w AS gc FROM z WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
 b AS (SELECT session_id, CASE WHEN ro IS NOT NULL THEN ti - ri ELSE 0 END AS bi, CASE WHEN ro IS NOT NULL THEN t_o - ro ELSE 0 END AS bo, ro IS NOT NULL AND ti >= ri AND t_o >= ro AND tc >= 1 AS opens, coalesce(ro - ro + ri, ri) AS first_i, coalesce(ro, 0) AS first_o FROM g WHERE rn = 1),
 f AS (SELECT session_id, count(*) FILTER (gi <> 0 OR go <> 0 OR gc <> 0) AS n, coalesce(bool_and(coalesce(gi = ri AND go = ro AND gc = 1 AND gi >= 0 AND go >= 0, FALSE)) FILTER (gi <> 0 OR go <> 0 OR gc <> 0), TRUE) AS follows, coalesce(sum(gi), 0) AS si, coalesce(sum(go), 0) AS so, max(ti) AS mi, max(t_o) AS mo FROM g GROUP BY session_id)
 SELECT session_id, opens AND follows AS consistent, CAST(CASE WHEN opens AND follows THEN n + 1 ELSE 0 END AS BIGINT) AS n_requests, CAST(bi AS BIGINT) AS inherited_input, CAST(CASE WHEN opens AND follows THEN first_i + si ELSE 0 END AS BIGINT) AS input, CAST(CASE WHEN opens AND follows THEN first_o + so ELSE 0 END AS BIGINT) AS output,

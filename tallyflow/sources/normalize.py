@@ -141,16 +141,17 @@ def requests(snapshots: DataFrame, key: str = "file", order: str = "line_no", co
 
     Each count ``c`` has a total and a report ``last_c`` (null: none). The first snapshot bills its report; the rest of its total
     is ``base_c``, inherited from an earlier log and never billed. Later ones bill what the total grew by (``d_c``); a snapshot
-    equal to the one before is no request, whatever it reports. ``consistent`` is false for all rows of a key if the first has
-    no report above 0 or one above its total, a total falls, or a report is missing or isn't what the total grew by. Such a key
-    has no billable request; ``over_c`` is what its totals reached above the base, to be kept as unattributed.
+    equal to the one before is no request, whatever it reports. A total of 0 without a report is no
+    snapshot. ``consistent`` is false for all rows of a key if the first has no report above 0 or one above its total, a total
+    falls, or a report is missing or isn't what the total grew by. Such a key has no billable request; ``over_c`` is what its totals reached above the base, to be kept as unattributed.
     """
     w = W.partitionBy(key).orderBy(order)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     every = lambda parts: functools.reduce(lambda x, y: x & y, parts)
     first = F.lag(F.lit(True), 1, False).over(w) == F.lit(False)
     reported = F.coalesce(every([F.col(f"last_{c}").isNotNull() for c in counts]) & (sum((F.col(f"last_{c}") for c in counts), F.lit(0)) > 0), F.lit(False))
-    out = snapshots.withColumns({"_first": first, "_reported": reported, **{f"_was_{c}": F.lag(c).over(w) for c in counts}})
+    nothing = every([F.coalesce(F.col(c), F.lit(0)) == 0 for c in counts])
+    out = snapshots.where(~nothing | reported).withColumns({"_first": first, "_reported": reported, **{f"_was_{c}": F.lag(c).over(w) for c in counts}})
     out = out.withColumns({f"d_{c}": F.when(F.col("_first"), F.coalesce(f"last_{c}", F.lit(0))).otherwise(F.col(c) - F.col(f"_was_{c}")) for c in counts})
     changed = F.col("_first") | ~every([F.col(f"d_{c}") == 0 for c in counts])
     opens = every([F.col(c) >= F.col(f"d_{c}") for c in counts])
@@ -179,21 +180,6 @@ def segment_turns(rows: DataFrame, closes: Column, key: str = "file", order: str
     return marked.where("not _closes").withColumn("turn_index", (F.dense_rank().over(W.partitionBy(key).orderBy("_island")) - 1).cast("long")).drop("_closes", "_island")
 
 
-CODEX_TOTALS = ("input", "output", "cache_read")
-
-
-def codex_units(lines: DataFrame) -> DataFrame:
-    """Requests from running totals: file, line_no, turn_index, model, counts. Cached input is part of input; reasoning of output."""
-    p = lambda x: F.coalesce(get(f"payload.{x}"), get(f"item.{x}"), get(f"response.{x}"))
-    n = lambda x: F.expr(f"try_cast(coalesce(get_json_object(line, '$.payload.info.total_token_usage.{x}'), get_json_object(line, '$.item.info.total_token_usage.{x}')) as bigint)")
-    rows = lines.select("file", "line_no", p("type").alias("kind"), p("role").alias("role"), p("model").alias("model"), epoch_ms(F.coalesce(get("timestamp"), get("created_at"))).alias("ts_ms"), n("input_tokens").alias("_in"), n("cached_input_tokens").alias("cache_read"), n("output_tokens").alias("output"))
-    rows = last_seen(rows, "model")
-    rows = segment_turns(rows, (F.col("kind") == "user_message") | ((F.col("kind") == "message") & (F.col("role") == "user")))
-    totals = rows.where("kind = 'token_count' and _in is not null").withColumn("cache_read", F.coalesce("cache_read", F.lit(0))).withColumn("output", F.coalesce("output", F.lit(0))).withColumn("input", F.col("_in") - F.col("cache_read"))
-    d = trusted(cumulative_deltas(totals))
-    return d.select("file", "line_no", "turn_index", "model", "ts_ms", F.col("d_input").alias("input"), F.col("d_output").alias("output"), F.col("d_cache_read").alias("cache_read"))
-
-
 def pair_compactions(rows: DataFrame, within_ms: int = 5000) -> DataFrame:
     """One event for two markers of opposite forms before the same turn and within five seconds; (file, turn_index, ts_ms).
 

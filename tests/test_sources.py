@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frames import frame
 
 from tallyflow.sources import jsonl as J
+from tallyflow.sources import codex as X
 from tallyflow.sources import normalize as N
 from tallyflow.sources.price_book import read_prices
 from tallyflow.streaming import ingest as S
@@ -70,11 +71,33 @@ def test_calls_and_compactions(spark):
 
 
 def test_running_totals(spark):
-    total = lambda i, c, o, **k: {"timestamp": 1, "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o}}, **k}}
-    user = {"payload": {"type": "user_message"}}
-    ls = lines(spark, {"payload": {"type": "turn_context", "model": "gpt-a"}}, user, total(10, 4, 1), total(10, 4, 1), user, user, {"payload": {"model": "gpt-b"}}, total(30, 4, 5))
-    assert [(r["turn_index"], r["model"], r["input"], r["cache_read"], r["output"]) for r in N.codex_units(ls).orderBy("line_no").collect()] == [(1, "gpt-a", 6, 4, 1), (2, "gpt-b", 20, 0, 4)]
-    assert N.codex_units(lines(spark, total(10, 4, 1), total(9, 4, 1), total(30, 4, 5))).count() == 0
+    """Inherited totals, repeats, zero totals, and each reason against a log's requests."""
+    use = lambda i, c, o, **k: {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, **k}
+    both = lambda total, last=None: {"timestamp": 1, "payload": {"type": "token_count", "info": {"total_token_usage": total, **({"last_token_usage": last} if last is not None else {})}}}
+    user, say = {"payload": {"type": "user_message"}}, lambda u: {"payload": {"type": "message", "role": "assistant", "usage": u}}
+    setup = {"payload": {"type": "turn_context", "model": "gpt-a", "model_provider": " OpenAI "}}
+    ls = lines(spark, setup, user, both(use(0, 0, 0)), both(use(1000, 400, 100), use(10, 4, 1)), both(use(1000, 400, 100), use(10, 4, 1)), user, user, {"payload": {"model": "gpt-b", "model_provider": "router"}}, both(use(1020, 400, 104), use(20, 0, 4)))
+    got = [(r["turn_index"], r["model"], r["provider_state"], r["provider"], r["input"], r["cache_read"], r["output"]) for r in X.units(ls).orderBy("line_no").collect()]
+    assert got == [(1, "gpt-a", "direct", "openai", 6, 4, 1), (2, "gpt-b", "blocked", None, 20, 0, 4)]
+    one = lambda *records: X.evidence(lines(spark, *records)).select("reasons", "n_requests", "input", "cache_read", "output", "inherited").first()
+    assert one(setup, user, both(use(1000, 400, 100), use(10, 4, 1)), both(use(1020, 400, 104), use(20, 0, 4))) == ([], 2, 26, 4, 5, 1089)
+    first = both(use(10, 4, 1), use(10, 4, 1))
+    assert one(first, both(use(30, 4, 5), use(20, 0, 4, reasoning_output_tokens=2, total_tokens=24))) == ([], 2, 26, 4, 5, 0)
+    assert one(both(use(10, 4, 1)), both(use(30, 4, 5), use(20, 0, 4))) == (["totals"], 0, 26, 4, 5, 0)  # no first report
+    assert one(first, both(use(9, 4, 1), use(0, 0, 1)), both(use(30, 4, 5), use(21, 0, 4))) == (["totals"], 0, 26, 4, 5, 0)  # falls
+    assert one(first, both(use(30, 4, 5), use(19, 0, 4))) == (["totals"], 0, 26, 4, 5, 0)  # another report
+    assert one(both(use(5, 0, 1), use(6, 0, 1)), both(use(9, 0, 1), use(4, 0, 0))) == (["totals"], 0, 9, 0, 1, 0)  # a report above its total
+    assert one(first, both(use(30, "4", 5), use(20, 0, 4))) == (["malformed", "report-alone"], 0, 20, 0, 4, 0)
+    assert one(first, both(use(30, 4, 5, total_tokens=36), use(20, 0, 4)))[0] == ["malformed", "report-alone"]
+    assert one(first, both(use(30, 4, 5), use(20, 0, 4, reasoning_output_tokens=5)))[0] == ["malformed", "totals"]
+    assert one({"payload": {"info": {"last_token_usage": use(7, 0, 2)}}}, first) == (["report-alone"], 0, 6, 4, 1, 0)
+    assert one(both(use(0, 0, 0), use(7, 0, 2)), first)[0] == ["report-alone"]
+    assert one(say(use(3, 0, 1)), say(use(2, 1, 2))) == ([], 2, 4, 1, 3, 0)  # single messages alone
+    assert one(say(use(3, 0, 1)), first) == (["mixed"], 0, 6, 4, 1, 0) and one(first, say(use(99, 0, 1)))[:2] == ([], 1)
+    assert one(say(use(3, 0, 1)), say([1]))[0] == ["malformed"]
+    dropped = lines(spark, first).unionByName(spark.createDataFrame([("f", 99, "{no")], "file string, line_no long, line string"))
+    assert X.evidence(dropped).first()["reasons"] == ["dropped"] and X.units(dropped).count() == 0
+    assert X.evidence(lines(spark, user, setup)).count() == 0 and X.units(ls.limit(0)).count() == 0
 
 
 def test_compaction_pairs(spark):
