@@ -46,16 +46,45 @@ def bucket(c: Column, edges: list[int], names: list[str]) -> Column:
     return out.otherwise(F.lit(names[-1]))
 
 
+def _exact(n: int) -> Column:
+    return F.lit(n).cast("decimal(38,0)")
+
+
+def usd_decimals(pico: Column) -> Column:
+    """How many decimals show an amount: two for whole cents, else four, or as many (to 12) as show its first digit that isn't 0.
+
+    Nothing and null need two. A ledger shows all its amounts with the most that one of them needs.
+    """
+    whole = (pico <= 0) | (pico % _exact(10**10) == 0)
+    small = F.lit(12)
+    for decimals in range(11, 4, -1):
+        small = F.when(pico >= _exact(10 ** (12 - decimals)), decimals).otherwise(small)
+    return F.when(pico.isNull() | whole, 2).when(pico >= _exact(10**8), 4).otherwise(small)
+
+
+def usd_units(pico: Column, decimals: Column) -> Column:
+    """Whole display units of 10^-decimals dollars, rounded down; nothing for less than nothing."""
+    size = F.element_at(F.array(*[_exact(10 ** (12 - d)) for d in range(13)]), decimals + 1)
+    safe = F.greatest(pico, _exact(0))
+    return ((safe - safe % size) / size).cast("decimal(38,0)")  # exact: a quotient would be rounded
+
+
+def usd_text(units: Column, decimals: Column) -> Column:
+    """Display units as text, thousands grouped."""
+    digits = F.lpad(units.cast("string"), F.greatest(F.length(units.cast("string")), decimals + 1), "0")
+    dollars = F.substring(digits, F.lit(1), F.length(digits) - decimals)
+    return F.concat(grouped(dollars), F.lit("."), F.substring(digits, F.length(digits) - decimals + 1, decimals))
+
+
+def grouped(digits: Column) -> Column:
+    """A text of digits in groups of three."""
+    return F.regexp_replace(digits, r"(?<=\d)(?=(?:\d{3})+$)", ",")
+
+
 def usd_floor(pico: Column) -> Column:
-    """Dollars as text, never rounded up: two decimals, or as many (to 12) as show the first digit that isn't 0."""
-    d = lambda n: F.lit(n).cast("decimal(38,0)")
-    whole_part = lambda x, n: ((x - x % d(n)) / d(n)).cast("decimal(38,0)")  # noqa: E731  exact: a quotient would be rounded
-    shown = F.lit("0.00")
-    for decimals in range(12, 1, -1):
-        units = whole_part(pico, 10 ** (12 - decimals))
-        text = F.concat(whole_part(units, 10**decimals).cast("string"), F.lit("."), F.lpad((units % d(10**decimals)).cast("decimal(38,0)").cast("string"), decimals, "0"))
-        shown = F.when(pico >= d(10 ** (12 - decimals)), text).otherwise(shown)
-    return F.when(pico.isNotNull(), shown)
+    """Dollars as text, never rounded up, with the decimals of ``usd_decimals``."""
+    d = usd_decimals(pico)
+    return F.when(pico.isNotNull(), usd_text(usd_units(pico, d), d))
 
 
 def share(part: Column, whole: Column) -> Column:

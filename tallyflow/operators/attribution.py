@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyflow.functions import text as X
 from tallyflow.schema import PICO
 
 NO_TOOL, UNATTRIBUTED = "(thinking/reply)", "(unattributed usage)"
@@ -67,8 +68,10 @@ def prices_used(priced: DataFrame) -> DataFrame:
 
 
 def tool_order(rows: DataFrame, by: list[str], money: str = "pico") -> DataFrame:
-    """Adds the long ``rank`` of a receipt's tool rows within ``by``: priced rows first, then most money, most tokens, by name."""
-    order = W.partitionBy(*by).orderBy(F.col(money).desc_nulls_last(), F.col("tokens").desc_nulls_last(), "tool")
+    """Adds the long ``rank`` of a receipt's tool rows within ``by``: priced rows first, by most money, then by name; the others by
+    most tokens, then by name."""
+    unpriced = F.when(F.col(money).isNull(), F.col("tokens"))
+    order = W.partitionBy(*by).orderBy(F.col(money).desc_nulls_last(), unpriced.desc_nulls_last(), "tool")
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
@@ -81,3 +84,22 @@ def rows_of_all(known: DataFrame, units: DataFrame, key: str) -> DataFrame:
     seen = of_session.groupBy(key).agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_units"), F.sum("total").alias("tokens"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_sessions", "n_units", "tokens")]
     return known.select(key).distinct().join(seen, key, "left").select(key, *zero)
+
+
+def ledger(rows: DataFrame, by: list[str], order: list[str], money: str = "pico", total: str | None = None) -> DataFrame:
+    """Adds to rows of money what a ledger shows of them: ``amount`` and ``total_amount`` (texts) and ``decimals``, one for all of a ledger.
+
+    Each amount is rounded down at the most decimals that a row or the total needs; null counts as nothing. Where ``total``
+    names a column with a ledger's stated total and the amounts come to more than it, the excess units are taken from the largest
+    amounts, in their order; so rows never add up to more, and ``total_amount`` is exactly what the rows add up to.
+    """
+    of, seq = W.partitionBy(*by), W.partitionBy(*by).orderBy(F.col("_units").desc(), *order)
+    needs = F.greatest(X.usd_decimals(F.col(money)), X.usd_decimals(F.col(total)) if total else F.lit(2))
+    shown = rows.withColumn("decimals", F.max(needs).over(of))
+    shown = shown.withColumn("_units", F.coalesce(X.usd_units(F.col(money), F.col("decimals")), F.lit(0).cast(PICO)))
+    if total:
+        before = F.sum("_units").over(seq.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_units")
+        excess = F.greatest(F.lit(0).cast(PICO), F.sum("_units").over(of) - X.usd_units(F.coalesce(F.col(total), F.lit(0).cast(PICO)), F.col("decimals")))
+        shown = shown.withColumn("_taken", F.greatest(F.lit(0).cast(PICO), F.least("_units", excess - before))).withColumn("_units", (F.col("_units") - F.col("_taken")).cast(PICO)).drop("_taken")
+    text = lambda c: X.usd_text(c.cast(PICO), F.col("decimals"))
+    return shown.withColumn("amount", text(F.col("_units"))).withColumn("total_amount", text(F.sum("_units").over(of))).drop("_units")

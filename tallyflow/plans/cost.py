@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.functions import text as X
@@ -111,16 +112,38 @@ def usd_floor(spark, sf):
     return turns(spark, sf).where("pico is not null").select("session_id", "turn_index", X.usd_floor(F.col("pico")).alias("usd"))
 
 
+def usd_ledger(spark, sf):
+    """A ledger a session, a row a model and day; every third session states a total below what its rows come to."""
+    p = priced(spark, sf).where("pico is not null").groupBy("session_id", "model", "day").agg(F.sum("pico").cast("decimal(38,0)").alias("pico"))
+    every = F.sum("pico").over(W.partitionBy("session_id"))
+    stated = F.when(F.col("session_id").cast("int") % 3 == 0, every - 2_000_000_000).otherwise(every).cast("decimal(38,0)")
+    rows = A.ledger(p.withColumn("stated", stated), ["session_id"], ["model", "day"], total="stated")
+    return rows.select("session_id", "model", "day", "decimals", "amount", "total_amount")
+
+
 def token_formats(spark, sf):
     t = turns(spark, sf)
     names = ["<1k", "1k-5k", "5k-20k", "20k+"]
     return t.select("session_id", "turn_index", X.short_tokens(F.col("total")).alias("short"), X.bucket(F.col("total"), [1000, 5000, 20000], names).alias("bucket"), X.share(F.col("cache_read"), F.col("total")).alias("cached"))
 
 
-QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, tool_rows, vendor_rows, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, token_formats)}
+QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, tool_rows, vendor_rows, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, usd_ledger, token_formats)}
 
 TOOLS = ", n AS (SELECT session_id, turn_index, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT t.session_id, coalesce(name, '(thinking/reply)') AS tool, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS k, CAST(pico AS DOUBLE) / coalesce(n, 1) AS pico, CAST(total AS DOUBLE) / coalesce(n, 1) AS tokens FROM turns t LEFT JOIN n USING (session_id, turn_index) LEFT JOIN calls c USING (session_id, turn_index)), p AS (SELECT session_id, tool, sum(k) AS k, sum(pico) AS pico, sum(tokens) AS tokens FROM s GROUP BY ALL), r AS (SELECT tool, CAST(sum(k) AS BIGINT) AS n_calls, round(sum(pico) / 1e12, 7) AS usd, round(sum(tokens), 1) AS tokens, count(pico) AS n_priced FROM p GROUP BY tool)"
 
+def _places(v: str) -> str:
+    """SQL: decimals by the amount's digits: whole cents two, from a hundredth of a cent four, else to the first digit."""
+    return f"(CASE WHEN {v} <= 0 OR {v} % 10000000000 = 0 THEN 2 WHEN length(CAST({v} AS VARCHAR)) >= 9 THEN 4 ELSE 13 - length(CAST({v} AS VARCHAR)) END)"
+
+
+def _units(u: str, d: str) -> str:
+    return f"(format('{{:,}}', CAST({u} // CAST(pow(10, {d}) AS HUGEINT) AS BIGINT)) || '.' || lpad(CAST({u} % CAST(pow(10, {d}) AS HUGEINT) AS VARCHAR), CAST({d} AS INT), '0'))"
+
+
+def _shown(v: str, d: str) -> str:
+    return _units(f"(greatest({v}, 0) // CAST(pow(10, 12 - {d}) AS HUGEINT))", d)
+
+
 ORACLE_SQL = {
     "price_units_by_model": SQL + "SELECT model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(CASE WHEN pico IS NULL THEN total ELSE 0 END) AS BIGINT) AS unpriced_tokens, count(*) AS n_units FROM priced GROUP BY model",
     "price_flags": SQL + "SELECT vendor, model, CAST(sum(CAST(write_floor AS INT)) AS BIGINT) AS n_write_floor, CAST(sum(CAST(read_floor AS INT)) AS BIGINT) AS n_read_floor, CAST(sum(CASE WHEN c_r_in >= c_r_cached THEN cache_read * (c_r_in - c_r_cached) END) AS DECIMAL(38,0)) AS cached_saving FROM priced GROUP BY ALL",
@@ -128,7 +151,7 @@ ORACLE_SQL = {
     "price_turns": SQL + "SELECT session_id, turn_index, CAST(pico AS DECIMAL(38,0)) AS pico, CAST(total AS BIGINT) AS total, CAST(unpriced_tokens AS BIGINT) AS unpriced_tokens, n_units, n_priced, complete, write_floor, read_floor FROM turns",
     "envelope_units": SQL + ", w AS (SELECT session_id, turn_index, count(*) AS n, sum(total) AS total FROM units GROUP BY ALL) SELECT session_id, CAST(sum(CASE WHEN turn_index % 7 = 6 THEN 1 ELSE n END) AS BIGINT) AS n_units, CAST(sum(total + CASE WHEN turn_index % 5 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS tokens, count(*) AS n_turns FROM w WHERE turn_index % 7 = 6 OR turn_index % 5 <> 4 GROUP BY session_id",
     "tool_attribution": SQL + TOOLS + " SELECT tool, n_calls, usd, tokens, n_priced FROM r",
-    "tool_rows": SQL + TOOLS + " SELECT row_number() OVER (ORDER BY usd IS NULL, usd DESC, tokens DESC, tool) AS rank, tool, usd, tokens FROM r",
+    "tool_rows": SQL + TOOLS + " SELECT row_number() OVER (ORDER BY usd IS NULL, usd DESC, CASE WHEN usd IS NULL THEN tokens END DESC, tool) AS rank, tool, usd, tokens FROM r",
     "vendor_rows": SQL + ", s AS (SELECT vendor, count(DISTINCT session_id) AS n_sessions, count(*) AS n_units, sum(total) AS tokens FROM units GROUP BY vendor) SELECT v AS vendor, CAST(coalesce(n_sessions, 0) AS BIGINT) AS n_sessions, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens FROM (VALUES ('alpha'), ('beta'), ('gamma')) x(v) LEFT JOIN s ON v = vendor",
     "session_totals": SQL + "SELECT session_id, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(unpriced_tokens) AS BIGINT) AS unpriced_tokens, count(*) AS n_turns, CAST(count(*) - sum(CAST(complete AS INT)) AS BIGINT) AS n_unpriced_turns, bool_or(write_floor) AS write_floor, bool_or(read_floor) AS read_floor, CASE WHEN sum(pico) IS NULL THEN 'unpriced' WHEN sum(unpriced_tokens) > 0 THEN 'partial' ELSE 'full' END AS coverage FROM turns GROUP BY session_id",
     "cost_by_session_model": SQL + "SELECT session_id, model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens FROM priced WHERE pico IS NOT NULL GROUP BY ALL",
@@ -138,6 +161,10 @@ ORACLE_SQL = {
     "cheapest_row": SQL + "SELECT vendor, b_model AS cheapest_model, CAST(r_in AS BIGINT) AS r_in, count(*) AS n_units FROM units JOIN cheapest ON vendor = b_vendor GROUP BY ALL",
     "price_delta": SQL + "SELECT session_id || ':' || turn_index AS session_id, min(vendor) AS vendor, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(least) AS DECIMAL(38,0)) AS cheapest_pico, CAST(sum(pico) - sum(least) AS DECIMAL(38,0)) AS delta_pico FROM repriced GROUP BY repriced.session_id, turn_index HAVING count(DISTINCT vendor) = 1 AND bool_and(pico IS NOT NULL AND NOT write_floor AND NOT read_floor)",
     "book_faults": SQL + "SELECT v AS vendor, m AS model, CAST(d AS DATE) AS from_date, f AS fault, count(*) AS n_units FROM units JOIN (VALUES ('beta', 'beta-mini', '2024-01-03', 'overlaps the next row'), ('beta', 'beta-mini', '2024-01-20', 'more than one open row'), ('alpha', 'alpha-large', '2024-01-15', 'overlaps the next row'), ('alpha', 'alpha-large', '2024-03-01', 'ends before it begins')) x(v, m, d, f) ON model = m GROUP BY ALL",
-    "usd_floor": SQL + ", d AS (SELECT session_id, turn_index, pico, CASE WHEN pico >= 10000000000 THEN 2 ELSE least(12, 13 - length(CAST(pico AS VARCHAR))) END AS n FROM turns WHERE pico IS NOT NULL), f AS (SELECT *, pico // CAST(pow(10, 12 - n) AS HUGEINT) AS w FROM d) SELECT session_id, turn_index, CASE WHEN pico = 0 THEN '0.00' ELSE CAST(w // CAST(pow(10, n) AS HUGEINT) AS VARCHAR) || '.' || lpad(CAST(w % CAST(pow(10, n) AS HUGEINT) AS VARCHAR), CAST(n AS INT), '0') END AS usd FROM f",
+    "usd_floor": SQL + f"SELECT session_id, turn_index, {_shown('pico', _places('pico'))} AS usd FROM turns WHERE pico IS NOT NULL",
+    "usd_ledger": SQL + ", g AS (SELECT session_id, model, day, sum(pico) AS pico FROM priced WHERE pico IS NOT NULL GROUP BY ALL), t AS (SELECT *, sum(pico) OVER (PARTITION BY session_id) - CASE WHEN CAST(session_id AS INT) % 3 = 0 THEN 2000000000 ELSE 0 END AS stated FROM g), "
+    + f"d AS (SELECT *, max(greatest({_places('pico')}, {_places('stated')})) OVER (PARTITION BY session_id) AS d FROM t), u AS (SELECT *, greatest(pico, 0) // CAST(pow(10, 12 - d) AS HUGEINT) AS u, greatest(stated, 0) // CAST(pow(10, 12 - d) AS HUGEINT) AS most FROM d), "
+    + "x AS (SELECT *, sum(u) OVER (PARTITION BY session_id ORDER BY u DESC, model, day ROWS UNBOUNDED PRECEDING) - u AS before, greatest(0, sum(u) OVER (PARTITION BY session_id) - most) AS excess FROM u), y AS (SELECT *, u - greatest(0, least(u, excess - before)) AS v FROM x), z AS (SELECT *, sum(v) OVER (PARTITION BY session_id) AS s FROM y) "
+    + f"SELECT session_id, model, day, CAST(d AS INTEGER) AS decimals, {_units('v', 'd')} AS amount, {_units('s', 'd')} AS total_amount FROM z",
     "token_formats": SQL + ", i AS (SELECT session_id, turn_index, CAST(total AS BIGINT) AS total, CAST(cache_read AS BIGINT) AS cache_read, CAST(floor(100 * CAST(cache_read AS DOUBLE) / total + 0.5) AS BIGINT) AS p FROM turns) SELECT session_id, turn_index, CASE WHEN total < 1000 THEN CAST(total AS VARCHAR) WHEN total < 9950 THEN regexp_replace(((total + 50) // 100 // 10) || '.' || ((total + 50) // 100 % 10), '[.]0$', '') || 'k' WHEN total < 999500 THEN ((total + 500) // 1000) || 'k' WHEN total < 9950000 THEN regexp_replace(((total + 50000) // 100000 // 10) || '.' || ((total + 50000) // 100000 % 10), '[.]0$', '') || 'M' ELSE ((total + 500000) // 1000000) || 'M' END AS short, CASE WHEN total < 1000 THEN '<1k' WHEN total < 5000 THEN '1k-5k' WHEN total < 20000 THEN '5k-20k' ELSE '20k+' END AS bucket, CASE WHEN p <= 0 AND cache_read > 0 THEN '<1%' WHEN p >= 100 AND cache_read < total THEN '>99%' ELSE p || '%' END AS cached FROM i",
 }

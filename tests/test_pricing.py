@@ -109,9 +109,39 @@ def test_even_split_and_replies(spark):
 
 
 def test_usd_floor_never_rounds_up(spark):
-    values = [0, 1, 9_999_999_999, 10_000_000_000, 1_999_999_999_999, 123_456, 12_345_678_900_000_000]
-    df = spark.createDataFrame([(v,) for v in values], "v long").select(X.usd_floor(F.col("v").cast("decimal(38,0)")))
-    assert [r[0] for r in df.collect()] == ["0.00", "0.000000000001", "0.009", "0.01", "1.99", "0.0000001", "12345.67"]
+    want = {
+        0: "0.00", -5: "0.00", 1: "0.000000000001", 9_999_999_999: "0.0099", 10_000_000_000: "0.01", 1_999_999_999_999: "1.9999", 123_456: "0.0000001", 12_345_678_900_000_000: "12,345.6789", 12_300_000_000: "0.0123", 1_234_500_000_000: "1.2345",
+        1_230_000_000_000: "1.23", 99_999_999: "0.00009", 100_000_000: "0.0001", 1_234_567_000_000_000_000: "1,234,567.00", 10**24 + 1: "1,000,000,000,000.0000", 1_000_000_000_000_000: "1,000.00", 10**12 - 10**10: "0.99",
+    }
+    df = spark.createDataFrame([(str(v),) for v in want], "v string").select(X.usd_floor(F.col("v").cast("decimal(38,0)")))
+    assert [r[0] for r in df.collect()] == list(want.values())
+
+
+def test_ledger_rows_never_add_up_to_more(spark):
+    import random
+    from collections import defaultdict
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice((None, 0, rng.randrange(10**5), rng.randrange(10**13), rng.randrange(1, 500) * 10**10))) for g in range(60) for i in range(rng.randrange(1, 6))]
+    total = {g: max(0, sum(v or 0 for h, _, v in rows if h == g) - rng.choice((0, 0, 1, 10**8, 10**11, 10**14))) for g in range(60)}
+    df = frame(spark, [(g, i, v, total[g]) for g, i, v in rows], "g int, i int, pico decimal(38,0), stated decimal(38,0)")
+    found = defaultdict(list)
+    for r in A.ledger(df, ["g"], ["i"], total="stated").orderBy("g", "i").collect():
+        found[r["g"]].append(r)
+    money = lambda t: Decimal(t.replace(",", ""))
+    places = lambda v: 2 if v <= 0 or v % 10**10 == 0 else max(4, 13 - len(str(v)))
+    for g, shown in found.items():
+        d = max(places(v or 0) for v in [*(r["pico"] for r in shown), total[g]])
+        units = [int(r["pico"] or 0) // 10 ** (12 - d) for r in shown]
+        excess = max(0, sum(units) - total[g] // 10 ** (12 - d))
+        for k in sorted(range(len(units)), key=lambda k: (-units[k], k)):
+            less = min(units[k], excess)
+            units[k], excess = units[k] - less, excess - less
+        assert [money(r["amount"]) * 10**d for r in shown] == units and {r["decimals"] for r in shown} == {d}
+        assert {money(r["total_amount"]) for r in shown} == {sum(money(r["amount"]) for r in shown)} and sum(money(r["amount"]) for r in shown) * 10**12 <= total[g]
+    plain = A.ledger(df, ["g"], ["i"]).where("pico is null").select("amount").distinct().collect()
+    assert {set(r["amount"]) <= set("0.") for r in plain} == {True}
 
 
 def test_timestamps(spark):

@@ -99,9 +99,9 @@ def test_patches_subjects_and_promotion(spark):
 def test_tool_order(spark):
     from tallyflow.operators.attribution import tool_order
 
-    rows = [("s", "b", 5, 1), ("s", "a", 5, 1), ("s", "c", None, 99), ("s", "d", 5, 2), ("t", "e", None, None), (None, "f", 0, 0)]
+    rows = [("s", "b", 5, 1), ("s", "a", 5, 1), ("s", "c", None, 99), ("s", "g", None, 100), ("s", "d", 5, 2), ("t", "e", None, None), (None, "f", 0, 0)]
     got = tool_order(spark.createDataFrame(rows, "session_id string, tool string, pico long, tokens long"), ["session_id"])
-    assert {(r.session_id, r.tool): r["rank"] for r in got.collect()} == {("s", "d"): 1, ("s", "a"): 2, ("s", "b"): 3, ("s", "c"): 4, ("t", "e"): 1, (None, "f"): 1}
+    assert {(r.session_id, r.tool): r["rank"] for r in got.collect()} == {("s", "a"): 1, ("s", "b"): 2, ("s", "d"): 3, ("s", "g"): 4, ("s", "c"): 5, ("t", "e"): 1, (None, "f"): 1}
 
 
 def test_rows_of_all(spark):
