@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity model scores below 0.5, each judged by its own text."""
+    """Rows that the toxicity model scores below 0.5, each judged by its own text; a null text is empty, and stays."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(keyed(docs), model, key="row").where("predicted = 0").select("doc_id.*")
 
@@ -50,7 +49,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths of at most 2048 tokens, with their ids (4 little-endian bytes each)."""
+    """Sequences of power-of-two lengths of at most 2048 tokens, with their ids (4 little-endian bytes each); a null text is empty."""
+    import public_tokenizers
+
     return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")), with_ids=True)
 
 
