@@ -234,3 +234,26 @@ def anchor_events(commands: DataFrame) -> DataFrame:
     made = commands.where("verb = 'commit' and own").select("session_id", "turn_index", "call_ord", "inv_ord", F.posexplode("shas").alias("at", "sha"))
     first = made.groupBy("session_id", "turn_index", "sha").agg(F.min(F.struct("call_ord", "inv_ord", "at")).alias("first"))
     return first.select("session_id", "turn_index", (F.row_number().over(W.partitionBy("session_id", "turn_index").orderBy("first")) - 1).cast("int").alias("place"), "sha")
+
+
+def call_writes(calls: DataFrame) -> DataFrame:
+    """(session_id, turn_index, call_ord, verb, runs): shell calls that commit or push, by their first such command, with all SHAs that
+    lines of that verb confirm in the output, whichever command they are of."""
+    shell = calls.where("is_shell").select("session_id", "turn_index", "call_ord", confirmed("commit", "output").alias("c"), confirmed("push", "output").alias("p"), invocations(F.col("input_json")).alias("argvs"))
+    verb = F.expr(f"get(filter(transform(argvs, argv -> {git_call('argv')}.sub), v -> v in ('commit', 'push')), 0)")
+    return shell.withColumn("verb", verb).where("verb is not null").select("session_id", "turn_index", "call_ord", "verb", F.expr("if(verb = 'commit', c, p)").alias("runs"))
+
+
+def commit_subjects(calls: DataFrame) -> DataFrame:
+    """(session_id, subject): the distinct first ``-m`` texts of the commit commands of shell calls, empty ones left out.
+
+    Later ones are paragraphs; what another option takes, or stands after ``--``, is no text.
+    """
+    start = "named_struct('want', '', 'subject', cast(null as string))"
+    to = lambda want="''", subject="s.subject": f"named_struct('want', {want}, 'subject', {subject})"
+    step = f"""case when s.subject is not null or s.want = 'done' then s when s.want = 'value' then {to()} when s.want = 'subject' then {to(subject="w")}
+      when w = '--' then {to(want="'done'")} when w in ('--message', '-m', '-am') then {to(want="'subject'")} when w like '--message=%' then {to(subject="substring(w, 11)")}
+      when w like '-m_%' then {to(subject="substring(w, 3)")} when w in ('-c', '-C', '-F', '-t', '-S') then {to(want="'value'")} else s end"""
+    shell = calls.where("is_shell").select("session_id", F.explode(invocations(F.col("input_json"))).alias("argv")).select("session_id", F.expr(git_call("argv")).alias("git"))
+    found = shell.where("git.sub = 'commit'").select("session_id", F.expr(f"aggregate(git.args, {start}, (s, w) -> {step}, s -> s.subject)").alias("subject"))
+    return found.where("subject <> ''").distinct()
