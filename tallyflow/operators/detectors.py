@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.functions import usage as U
+from tallyflow.functions.paths import fold_file
 from tallyflow.schema import PICO
 
 #: The shortest loop, the longest trivial output, and the bounds of context churn.
@@ -16,35 +16,20 @@ LATE_TURNS, TOP_TURNS = 4, 3
 
 
 def canonical_json(c: Column) -> Column:
-    """A JSON text with its keys sorted; a text that isn't JSON stays as it is.
-
-    The parser can't order keys by itself, so objects are compared through a sorted rendering by an Arrow-batched function.
-    """
-    import json
-
-    @F.pandas_udf("string")
-    def sort(values: pd.Series) -> pd.Series:
-        def one(v):
-            try:
-                return json.dumps(json.loads(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-            except (TypeError, ValueError):
-                return v
-
-        return values.map(one)
-
-    return sort(c)
+    """A JSON text with the keys of all its objects sorted; a text that isn't JSON stays as it is. Parsed objects keep their keys in order."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
 def stuck_loops(calls: DataFrame, turns: DataFrame, key: Column | None = None, least: int = LOOP) -> DataFrame:
     """Maximal runs of ``least`` or more calls with one tool and input, across turns: (session_id, tool, start_ord, n_calls, ...).
 
-    ``key`` is what makes two inputs equal (their text by default; ``canonical_json`` for JSON). A call carries an even
+    ``key`` is what makes two inputs equal; by default their JSON with sorted keys, or their text if it is none. A call carries an even
     share of its turn, if that is priced in full; one without price makes the run's cost null. Runs are islands: the
     number among all calls less the number among equal calls is constant in a run.
     """
     whole = calls.groupBy("session_id", "turn_index").agg(F.count("*").alias("n"))
     part = F.when(F.col("complete"), F.col("pico").cast("decimal(30,6)") / F.col("n").cast("decimal(9,0)"))
-    flat = calls.withColumn("same", F.coalesce(F.col("input_json") if key is None else key, F.lit("")))
+    flat = calls.withColumn("same", F.coalesce(canonical_json(F.col("input_json")) if key is None else key, F.lit("")))
     ordered, equal = W.partitionBy("session_id").orderBy("call_ord"), W.partitionBy("session_id", "name", "same").orderBy("call_ord")
     flat = flat.withColumn("rn", F.row_number().over(ordered)).withColumn("island", F.col("rn") - F.row_number().over(equal))
     runs = flat.join(whole, ["session_id", "turn_index"]).join(turns.select("session_id", "turn_index", "pico", "complete"), ["session_id", "turn_index"], "left").withColumn("part", part)
@@ -73,6 +58,60 @@ def rereads(calls: DataFrame, read: str, edit: tuple[str, ...], path: str = "pat
     return found
 
 
+#: Tools that read or change a file, and shell commands that may change any.
+READS, EDITS = ("Read",), ("Edit", "Write", "NotebookEdit")
+WHOLE_TREE = r"\bgit\s+reset\s+--hard\b|\bgit\s+stash\b|\bgit\s+apply\b|\bgit\s+(?:checkout|restore)\s+(?:--\s+)?\.(?:\s|$)|\bprettier\b[^|]*--write|\beslint\b[^|]*--fix|\bfind\b[^|]*-exec"
+
+
+def _latest(reads: DataFrame, marks: DataFrame, by: list[str], at: str, mark: str) -> DataFrame:
+    """Adds to reads the column ``mark``: the greatest place in ``marks`` (by..., place) not after the read's ``at``, -1 for none.
+
+    One running maximum over both tables together, so nothing is compared pair by pair.
+    """
+    of = [F.col(c).alias(f"_{c}") for c in by]
+    rows = reads.select(*of, F.col(at).alias("_at"), F.lit(1).alias("_read"), F.struct(*reads.columns).alias("_row"))
+    rows = rows.unionByName(marks.select(*of, F.col("place").cast("long").alias("_at"), F.lit(0).alias("_read")), allowMissingColumns=True)
+    upto = W.partitionBy(*[f"_{c}" for c in by]).orderBy("_at", "_read").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn(mark, F.coalesce(F.max(F.when(F.col("_read") == 0, F.col("_at"))).over(upto), F.lit(-1))).where("_read = 1").select("_row.*", mark)
+
+
+def same_file_rereads(calls: DataFrame, turns: DataFrame, compactions: DataFrame) -> DataFrame:
+    """(session_id, n_rereads, pico, tokens, turns, confidence): reads of a file that was read before, with no recorded cause between.
+
+    A cause is an edit of the same path, a shell command that names the file's last part or may change the whole tree, or a
+    compaction in a later turn than the read before, up to this one's. Paths are folded; failed reads count for nothing, all
+    others become the read before the next. A call carries an even share of its turn; pico is null if a counted read has no price.
+    ``calls``: (session_id, turn_index, call_ord, name, is_shell, input_json, status). The finding is no verdict: confidence is low.
+    """
+    raw = F.coalesce(F.expr("try_variant_get(try_parse_json(input_json), '$.file_path', 'string')"), F.expr("try_variant_get(try_parse_json(input_json), '$.notebook_path', 'string')"))
+    files = calls.where(F.col("name").isin(*READS, *EDITS)).withColumn("raw", raw).where("raw <> ''").withColumn("path", fold_file("raw"))
+    files = files.withColumn("base", F.regexp_extract("path", "([^/]*)$", 1))
+    edits = files.where(F.col("name").isin(*EDITS)).select("session_id", "path", F.col("call_ord").alias("place"))
+    reads = files.where(F.col("name").isin(*READS) & (F.coalesce("status", F.lit("")) != "error")).select("session_id", "turn_index", "call_ord", "path", "base")
+    before = W.partitionBy("session_id", "path").orderBy("call_ord")
+    reads = reads.withColumn("before_ord", F.lag("call_ord").over(before)).withColumn("before_turn", F.lag("turn_index").over(before)).where("before_ord is not null")
+
+    shell = calls.where((F.col("is_shell") | (F.col("name") == "Bash")) & ~F.col("name").isin(*EDITS)).select("session_id", F.col("call_ord").alias("place"), F.expr("coalesce(try_variant_get(try_parse_json(input_json), '$.command', 'string'), '')").alias("command"))
+    # a command names a file if it holds the name anywhere: joined by the name's first letters, then looked up
+    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda k: F.substr(text, k, F.lit(n)))
+    letters = F.array_distinct(F.concat(*[grams(F.col("command"), n) for n in (1, 2, 3)]))
+    bases = reads.select("session_id", "base").distinct().withColumn("gram", F.substring("base", 1, 3))
+    named = shell.where("command <> ''").withColumn("gram", F.explode(letters)).join(bases, ["session_id", "gram"]).where(F.contains("command", F.col("base"))).select("session_id", "base", "place")
+    whole = shell.where(F.col("command").rlike(WHOLE_TREE)).select("session_id", "place")
+
+    reads = _latest(reads, edits, ["session_id", "path"], "call_ord", "edited")
+    reads = _latest(reads, named, ["session_id", "base"], "call_ord", "named")
+    reads = _latest(reads, whole, ["session_id"], "call_ord", "changed")
+    reads = _latest(reads, compactions.select("session_id", F.col("turn_index").alias("place")), ["session_id"], "turn_index", "compacted")
+    found = reads.where("edited <= before_ord and named <= before_ord and changed <= before_ord and compacted <= before_turn")
+
+    n = calls.groupBy("session_id", "turn_index").agg(F.count("*").alias("n"))
+    share = lambda c: F.col(c).cast("decimal(30,6)") / F.col("n").cast("decimal(9,0)")
+    priced = found.join(n, ["session_id", "turn_index"]).join(turns.select("session_id", "turn_index", "pico", "total", "complete"), ["session_id", "turn_index"], "left")
+    out = priced.groupBy("session_id").agg(F.count("*").alias("n_rereads"), F.sum(F.when(F.col("complete"), share("pico"))).alias("s"), F.count(F.when(F.col("complete"), F.col("pico"))).alias("n_priced"), F.sum(share("total")).alias("tokens"), F.array_sort(F.collect_set("turn_index")).alias("turns"))
+    return out.select("session_id", "n_rereads", F.when(F.col("n_priced") == F.col("n_rereads"), F.col("s")).alias("pico"), "tokens", "turns", F.lit("low").alias("confidence"))
+
+
 def trivial_spans(priced: DataFrame, calls: DataFrame, cheapest: DataFrame, most: int = TRIVIAL_OUTPUT) -> DataFrame:
     """Turns without calls and with little output whose every request has a dearer model than its vendor's cheapest.
 

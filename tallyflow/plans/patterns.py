@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.operators import detectors as T
 from tallyflow.operators import pricing as P
+from tallyflow.operators import scope as S
 from tallyflow.operators import windows as V
 from tallyflow.plans import derive as D
 from tallyflow.plans.cost import priced, turns
@@ -25,6 +26,32 @@ def rereads(spark, sf):
     return T.rereads(c, "view", ("purchase",), blocked_by=c.where("is_shell").select("session_id", "call_ord", "path"))
 
 
+def file_calls(spark, sf):
+    """Views and errors read a file, purchases edit one, clicks are shell calls; a path has three spellings."""
+    e = D.events(spark, sf)
+    f = F.concat(F.lit("f"), (F.col("k") % 10).cast("string"), F.lit(".ts"))
+    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/p/"), f)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("/p/./q/../"), f)).otherwise(F.concat(F.lit("//p//"), f, F.lit("/")))
+    command = F.when(F.col("event_id") % 40 == 0, F.lit("git stash -u")).when(F.col("event_id") % 5 == 1, F.concat(F.lit("sed -i s/a/b/ "), f)).otherwise(F.lit("ls -la"))
+    name = F.when(F.col("event_type") == "click", "Bash").when(F.col("event_type") == "purchase", "Edit").when(F.col("event_type").isin("view", "error"), "Read").otherwise("Other")
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit('{"command": "'), command, F.lit('"}'))).otherwise(F.concat(F.lit('{"offset": 1, "file_path": "'), path, F.lit('"}')))
+    return e.select("session_id", "turn_index", "call_ord", name.alias("name"), (F.col("event_type") == "click").alias("is_shell"), text.alias("input_json"), F.when(F.col("event_type") == "error", "error").when(F.col("event_id") % 4 == 0, "running").otherwise("ok").alias("status"))
+
+
+def same_file_rereads(spark, sf):
+    out = T.same_file_rereads(file_calls(spark, sf), turns(spark, sf), D.compactions(spark, sf))
+    return out.select("session_id", "n_rereads", F.col("pico").isNotNull().alias("is_priced"), F.round(F.col("pico").cast("double") / 1e12, 9).alias("usd"), F.round(F.col("tokens").cast("double"), 3).alias("tokens"), F.array_join("turns", ",").alias("turns"))
+
+
+def scoped_sessions(spark, sf):
+    """How many sessions each requested folder has; some were recorded at home or above, some folders have odd spellings."""
+    s = D.sessions(spark, sf)
+    uid = F.regexp_extract("session_id", "^([0-9]+)", 1).cast("long")
+    cwd = F.when(uid % 11 == 0, "/home/u").when(uid % 11 == 1, "/").when(uid % 11 == 2, F.concat(F.lit("/home/u/./x/../"), F.lit("proj"), (uid % 6).cast("string"))).otherwise(F.col("cwd"))
+    asked = s.select(F.concat(F.lit("/home/u/proj"), (uid % 6).cast("string"), F.when(uid % 2 == 0, "/src//lib/").otherwise("/../proj1")).alias("request")).distinct()
+    asked = asked.unionAll(spark.createDataFrame([("/home/u",), ("/",), ("",)], "request string"))
+    return S.sessions_for(s.select("session_id", cwd.alias("cwd")), asked, "/home/u").groupBy("request").agg(F.count("*").alias("n_sessions"))
+
+
 def trivial_spans(spark, sf):
     out = T.trivial_spans(priced(spark, sf), D.calls(spark, sf), P.cheapest_current(D.prices(spark)), most=2000)
     return out.select("session_id", "n_turns", "tokens", "pico", "cheapest_pico", F.array_join("turns", ",").alias("turns"))
@@ -75,7 +102,7 @@ def headline_pattern(spark, sf):
     return V.headline(findings(spark, sf)).select("session_id", "kind", "tokens", F.round(F.col("pico").cast("double") / 1e12, 9).alias("usd"))
 
 
-QUERIES = {f.__name__: f for f in (stuck_loops, rereads, trivial_spans, refills, context_thrash, cost_shape, time_caveats, waste_class_rollup, overlap_flags, recurrence_rules, headline_pattern)}
+QUERIES = {f.__name__: f for f in (stuck_loops, rereads, same_file_rereads, scoped_sessions, trivial_spans, refills, context_thrash, cost_shape, time_caveats, waste_class_rollup, overlap_flags, recurrence_rules, headline_pattern)}
 
 _LOOPS = """, rn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY call_ord) - row_number() OVER (PARTITION BY session_id, name, input_json ORDER BY call_ord) AS island, count(*) OVER (PARTITION BY session_id, turn_index) AS n FROM calls),
 loops AS (SELECT session_id, name AS tool, min(call_ord) AS start_ord, count(*) AS n_calls, CASE WHEN bool_and(coalesce(complete, false)) THEN sum(CAST(pico AS DOUBLE) / n) END AS pico, arg_max(ended_ms, call_ord) - arg_min(started_ms, call_ord) AS wall_ms, list_distinct(list(turn_index)) AS turns
@@ -95,6 +122,15 @@ UNION ALL SELECT session_id, 'context-thrash', CAST(tokens AS BIGINT), CAST(pico
 
 ORACLE_SQL = {
     "stuck_loops": SQL + _LOOPS + "SELECT session_id, tool, start_ord, n_calls, pico IS NOT NULL AS is_priced, round(pico / 1e12, 9) AS usd, wall_ms, CAST(len(turns) AS BIGINT) AS n_turns FROM loops",
+    "same_file_rereads": SQL + """, c AS (SELECT session_id, turn_index, call_ord, event_type AS t, 'f' || (k % 10) || '.ts' AS f, event_id FROM e), r AS (SELECT *, lag(call_ord) OVER w AS bo, lag(turn_index) OVER w AS bt FROM c WHERE t = 'view' WINDOW w AS (PARTITION BY session_id, f ORDER BY call_ord)),
+x AS (SELECT * FROM r WHERE bo IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c y WHERE y.session_id = r.session_id AND y.call_ord > bo AND y.call_ord < r.call_ord AND ((y.t = 'purchase' AND y.f = r.f) OR (y.t = 'click' AND (event_id % 40 = 0 OR (event_id % 5 = 1 AND y.f = r.f)))))
+  AND NOT EXISTS (SELECT 1 FROM compactions z WHERE z.session_id = r.session_id AND z.turn_index > bt AND z.turn_index <= r.turn_index)),
+n AS (SELECT session_id, turn_index, count(*) AS n FROM c GROUP BY ALL)
+SELECT x.session_id, count(*) AS n_rereads, bool_and(complete AND pico IS NOT NULL) AS is_priced, round(CASE WHEN bool_and(complete AND pico IS NOT NULL) THEN sum(CAST(pico AS DOUBLE) / n) END / 1e12, 9) AS usd, round(sum(CAST(total AS DOUBLE) / n), 3) AS tokens, string_agg(DISTINCT CAST(x.turn_index AS VARCHAR), ',' ORDER BY length(CAST(x.turn_index AS VARCHAR)), CAST(x.turn_index AS VARCHAR)) AS turns
+FROM x JOIN n USING (session_id, turn_index) JOIN turns USING (session_id, turn_index) GROUP BY x.session_id""",
+    "scoped_sessions": SQL + """, p AS (SELECT session_id, CAST(regexp_extract(session_id, '^([0-9]+)', 1) AS BIGINT) AS u FROM sessions), h AS (SELECT CASE u % 11 WHEN 0 THEN '/home/u' WHEN 1 THEN '/' ELSE '/home/u/proj' || (u % 6) END AS at FROM p),
+q AS (SELECT DISTINCT '/home/u/proj' || (u % 6) || CASE WHEN u % 2 = 0 THEN '/src//lib/' ELSE '/../proj1' END AS request, CASE WHEN u % 2 = 0 THEN '/home/u/proj' || (u % 6) || '/src/lib' ELSE '/home/u/proj1' END AS at FROM p UNION ALL VALUES ('/home/u', '/home/u'), ('/', '/'))
+SELECT request, count(*) AS n_sessions FROM q JOIN h ON h.at = q.at OR (h.at NOT IN ('/', '/home/u') AND starts_with(q.at, h.at || '/')) GROUP BY request""",
     "rereads": SQL + ", t AS (SELECT *, lag(call_ord) OVER w AS before_ord, lag(name) OVER w AS before_name FROM calls WHERE name = 'view' OR name = 'purchase' WINDOW w AS (PARTITION BY session_id, path ORDER BY call_ord)) SELECT session_id, path, call_ord, before_ord FROM t WHERE name = 'view' AND before_name = 'view' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.name = 'click' AND c.session_id = t.session_id AND c.path = t.path AND c.call_ord > t.before_ord AND c.call_ord <= t.call_ord)",
     "trivial_spans": SQL + _TRIVIAL + "SELECT session_id, n_turns, CAST(tokens AS BIGINT) AS tokens, CAST(pico AS DECIMAL(38,0)) AS pico, CAST(cheapest_pico AS DECIMAL(38,0)) AS cheapest_pico, array_to_string(turns, ',') AS turns FROM trivial",
     "refills": SQL + _THRASH + "SELECT session_id, turn_index FROM hits",

@@ -32,7 +32,7 @@ def test_loop_without_a_full_price_has_none(spark):
 
 def test_loops_compare_canonical_input(spark):
     c = calls(spark, "aaa").withColumn("input_json", F.when(F.col("call_ord") == 1, '{"b": 1, "a": [2]}').otherwise('{"a":[2],"b":1}'))
-    assert T.stuck_loops(c, turns(spark, [1] * 3)).count() == 0
+    assert T.stuck_loops(c, turns(spark, [1] * 3), key=F.col("input_json")).count() == 0 and T.stuck_loops(c, turns(spark, [1] * 3)).count() == 1
     assert T.stuck_loops(c, turns(spark, [1] * 3), key=T.canonical_json(F.col("input_json"))).count() == 1
 
 
@@ -90,3 +90,50 @@ def test_cost_shape(spark):
     assert T.cost_shape(t, edit(0).limit(0)).first()["pre_edit_pico"] is None
     assert T.cost_shape(turns(spark, [1] * 3), edit(0)).first()["late_ratio"] is None
     assert T.cost_shape(turns(spark, [1] * 4, complete=lambda k: k > 0), edit(0)).count() == 0
+
+
+def test_same_file_rereads(spark):
+    import json
+
+    def run(*steps, compacted=()):
+        """Steps are (tool, path or command); a turn each, at 10 tokens and 100 pico; a failed read ends with !."""
+        rows = [("s", k, k, t.rstrip("!"), t == "Bash", json.dumps({"command": x} if t == "Bash" else {"notebook_path" if t.startswith("Note") else "file_path": x}), "error" if t.endswith("!") else None) for k, (t, x) in enumerate(steps)]
+        c = spark.createDataFrame(rows, "session_id string, turn_index long, call_ord long, name string, is_shell boolean, input_json string, status string")
+        t = spark.createDataFrame([("s", k, 100, 10, True) for k in range(len(steps))], "session_id string, turn_index long, pico long, total long, complete boolean")
+        at = spark.createDataFrame([("s", k) for k in compacted], "session_id string, turn_index long")
+        r = T.same_file_rereads(c, t, at).first()
+        return (0, []) if r is None else (r["n_rereads"], r["turns"])
+
+    a, b = ("Read", "src/a.ts"), ("Read", "./src//x/../a.ts/")
+    assert run(a, b, a) == (2, [1, 2]) and run(a, ("Read", "test/a.ts")) == (0, []) and run(a, ("Read", "/src/a.ts")) == (0, [])
+    assert run(a, ("Edit", "src/a.ts"), b) == (0, []) and run(a, ("Edit", "src/b.ts"), b) == (1, [2]) and run(a, ("Edit", "src/a.ts"), a, a) == (1, [3]) and run(a, ("NotebookEdit", "src/a.ts"), a) == (0, [])
+    assert run(a, ("Bash", "cat data.ts"), a) == (0, []) and run(a, ("Bash", "cat b.ts"), a) == (1, [2])  # the name is part of another's
+    for cmd in ("git reset --hard", "git stash pop", "git checkout .", "git restore -- . ", "prettier src --write", "find . -exec rm {} +"):
+        assert run(a, ("Bash", cmd), a) == (0, []), cmd
+    assert run(a, ("Bash", "git checkout README.md"), a) == (1, [2]) and run(a, ("Bash", ""), a) == (1, [2])
+    assert run(a, ("Read!", "src/a.ts"), a) == (1, [2]) and run(("Read!", "src/a.ts"), a) == (0, [])
+    assert run(a, a, compacted=(1,)) == (0, []) and run(a, a, compacted=(0, 2)) == (1, [1]) and run(a, a, a, compacted=(1,)) == (1, [2])
+    assert run(("Read", "Makefile"), ("Bash", "make -f Makefile"), ("Read", "Makefile")) == (0, []) and run(("Read", "a"), ("Bash", "ls b"), ("Read", "a")) == (1, [2])
+
+
+def test_paths_and_scopes(spark):
+    from tallyflow.functions import paths as P
+    from tallyflow.operators import scope as S
+
+    folded = {"/a/./b//c/": "/a/b/c", "/repo/../other": "/other", "/..": "/", "/../..//x": "/x", "a/../../b": "../b", "..": "..", "C:\\Dir\\x": "c:/Dir/x", "c:/../O": "c:/O", "D:": "d:", "C:x": "C:x", "//srv/share/": "//srv/share", "//": "/", "": "", ".": "", "/a/b/../../..": "/"}
+    df = spark.createDataFrame([(k,) for k in folded] + [(None,)], "p string").select("p", P.fold("p").alias("f"), P.fold_file("p").alias("g"), P.ancestors(P.fold("p")).alias("a"), P.folder_name(P.fold("p")).alias("n"))
+    got = {r["p"]: r for r in df.collect()}
+    assert {k: r["f"] for k, r in got.items()} == {**folded, None: None}
+    assert got["/a/./b//c/"]["a"] == ["/", "/a", "/a/b", "/a/b/c"] and got["//srv/share/"]["a"] == ["/", "//srv", "//srv/share"] and got["c:/../O"]["a"] == ["c:", "c:/O"] and got[""]["a"] == [] and got["//srv/share/"]["n"] == "--srv-share" and got["//srv/share/"]["g"] == "/srv/share"
+    sessions = spark.createDataFrame([("root", "/"), ("home", "/home/u/"), ("above", "/home"), ("repo", "/home/u/repo"), ("sub", "/home/u/repo/sub"), ("like", "/home/u/repo2"), ("none", None), ("empty", "")], "session_id string, cwd string")
+    asked = spark.createDataFrame([("/home/u/repo/sub/x",), ("/home/u",), ("/home/u/repo/../repo2",), ("",), ("/",)], "request string")
+    found = {}
+    for r in S.sessions_for(sessions, asked, "/home/u").collect():
+        found.setdefault(r["request"], set()).add(r["session_id"])
+    assert found == {"/home/u/repo/sub/x": {"repo", "sub"}, "/home/u": {"home"}, "/home/u/repo/../repo2": {"like"}, "/": {"root"}}
+    assert {r["name"] for r in S.log_folders(asked.limit(1)).collect()} == {"-", "-home", "-home-u", "-home-u-repo", "-home-u-repo-sub", "-home-u-repo-sub-x"}
+    files = spark.createDataFrame([("/l/p/a",), ("/l/p",), ("/l/pq",)], "file string")
+    assert [r["file"] for r in S.without_subtrees(files, spark.createDataFrame([("/l/p/",)], "root string")).collect()] == ["/l/pq"]
+    kids = {"/l/p/subagents/agent-1.jsonl": ("1", "p", "/l/p.jsonl"), "/l/p/subagents/x/subagents/agent-2.jsonl": ("2", "p", "/l/p.jsonl"), "/l/p/agent-3.jsonl": None, "subagents/agent-4.jsonl": None, "/l/p/subagents/note.jsonl": None, "/subagents/agent-5.jsonl": None}
+    df = spark.createDataFrame([(k,) for k in kids], "file string").select("file", P.child_of("file").alias("c"))
+    assert {r["file"]: r["c"] and tuple(r["c"]) for r in df.collect()} == kids
