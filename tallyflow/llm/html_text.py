@@ -76,7 +76,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     """The tree's nodes, each after its parent, and the blocks of text with their elements, in page order."""
     top = _Node(None, "#page", False)
     nodes, stack, blocks = [top], [top], []
-    open_tags: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # where in the stack each tag's open elements are, so that none is looked for
     held: list[str] = []
     articles = 0
 
@@ -89,27 +89,24 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
 
     def add(text: str) -> None:
         held.append(text)
-        if open_tags.get("a"):
-            next(n for n in reversed(stack) if n.tag == "a").link_chars += len(text.strip())
+        if places.get("a"):
+            stack[places["a"][-1]].link_chars += len(text.strip())
 
     def pop() -> None:
         nonlocal articles
         tag = stack.pop().tag
-        open_tags[tag] -= 1
+        places[tag].pop()
         articles -= tag in ("article", "main")
 
     def close(tags: set, barriers: set) -> None:
-        """Ends the innermost open element of ``tags`` and what is open inside it."""
-        if any(open_tags.get(t) for t in tags):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in tags:
-                    if any(n.tag in BLOCK for n in stack[k:]):
-                        flush()
-                    while len(stack) > k:
-                        pop()
-                    return
-                if stack[k].tag in barriers:
-                    return
+        """Ends the innermost open element of ``tags`` and what is open inside it, unless a barrier is open inside it."""
+        innermost = lambda some: max((places[t][-1] for t in some if places.get(t)), default=0)
+        k = innermost(tags)
+        if k and innermost(barriers) <= k:
+            if any(n.tag in BLOCK for n in stack[k:]):
+                flush()
+            while len(stack) > k:
+                pop()
 
     at, lower = 0, None
     while m := _MARKUP.search(page, at):
@@ -153,8 +150,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             stack[-1].kids.append(node)
             nodes.append(node)
         articles += tag in ("article", "main")
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        open_tags[tag] = open_tags.get(tag, 0) + 1
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             pop()
     if at < len(page) and not stack[-1].off:
@@ -256,6 +253,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``; null or empty html has the empty text, an empty table no rows."""
     return extract(table(spark, sf_dir, "pages"))
 
 

@@ -125,6 +125,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document; a null text has none, an empty table no rows."""
     found = find(table(spark, sf_dir, "documents"))
     count = lambda name: F.expr(f"cast(size(filter(spans, x -> x.kind = {BASE.index(name)})) as bigint)").alias(f"n_{name}")
     return found.select("doc_id", *map(count, BASE), F.sha2(F.expr(listed(kinds=BASE)), 256).alias("base_sha256"), F.expr(listed()).alias("spans"))

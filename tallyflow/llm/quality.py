@@ -118,6 +118,7 @@ def ablate(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document; a null text has no words and fails, an empty table has no rows."""
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
     failed = rejects("v0-base")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "fail_bits", "n_lines", "n_upper", "n_letters", "n_exclaim")

@@ -88,6 +88,16 @@ def test_pages(spark, data):
     assert sorted((r["text"][:4], r["n_chars"]) for r in html_text.extract(odd).collect()) == [("", 0), ("<<<<", 5000), ("deep", 4), ("x", 1)]
 
 
+def test_deep_pages_are_read_in_one_pass():
+    import time
+
+    began = time.process_time()
+    for open_tag, tag in (("<a href=x>", "b"), ("<p><table><tr><td>", "i"), ("<ul><li>", "span")):
+        page = "<div>" + open_tag + "".join(f"<{tag}>w " for _ in range(16_000)) + "<div>end</div></div>"
+        assert html_text.main_text(page).replace("\n", " ").endswith("w end")
+    assert time.process_time() - began < 6
+
+
 ITEM = "If Tom buys 12 apples for 3 dollars each and gives Tom 4 kg of pears, how much does Anna pay?"
 
 
