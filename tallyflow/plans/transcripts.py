@@ -34,6 +34,25 @@ def claude_unattributed(spark, sf):
     return N.claude_unattributed(good).select("file", "valid", F.col("usage.output").alias("output"))
 
 
+def header_lines(spark, sf):
+    """Sign-ups are titles, views the user's texts (every third an echo of the tool), clicks blocks of text, errors meta records."""
+    e = D.events(spark, sf)
+    text = lambda c: c.cast("string")
+    at = F.concat(F.lit('"timestamp":'), text(F.col("ts_ms")))
+    word = F.concat(F.when(F.col("event_id") % 3 == 0, "<command-name>clear").otherwise(" what  is\\u001b[1m "), text(F.col("k")))
+    t = F.col("event_type")
+    line = F.when(F.col("event_id") % 151 == 3, F.lit('{"type":"fork-context-ref"}')).when((t == "signup") & (F.col("uid") % 2 == 0), F.concat(F.lit('{"type":"ai-title","aiTitle":"About '), text(F.col("k")), F.lit('"}')))
+    line = line.when(t == "view", F.concat(F.lit('{"type":"user",'), at, F.lit(',"cwd":"/p'), text(F.col("k") % 4), F.lit('","message":{"content":"'), word, F.lit('"}}')))
+    line = line.when(t == "click", F.concat(F.lit('{"type":"user",'), at, F.lit(',"message":{"content":[{"type":"image"},{"type":"text","text":"block '), text(F.col("k")), F.lit('"}]}}')))
+    line = line.when(t == "error", F.concat(F.lit('{"type":"user","isMeta":true,"gitBranch":"b'), text(F.col("k") % 3), F.lit('",'), at, F.lit(',"message":{"content":"meta"}}')))
+    line = line.otherwise(F.concat(F.lit('{"type":"assistant",'), at, F.lit(',"isSidechain":'), F.when(F.col("event_id") % 50 == 7, "true").otherwise("false"), F.lit(',"message":{"model":"m'), text(F.col("k") % 3), F.lit('","content":[]}}')))
+    return e.select(F.col("session_id").alias("file"), F.col("call_ord").alias("line_no"), line.alias("line"))
+
+
+def session_headers(spark, sf):
+    return N.claude_headers(header_lines(spark, sf))
+
+
 def claude_compactions(spark, sf):
     good, _ = J.split_bad(lines(spark, sf))
     return N.claude_compactions(good)
@@ -179,7 +198,7 @@ def compaction_pairs(spark, sf):
     return N.pair_compactions(e.select(F.col("session_id").alias("file"), F.col("call_ord").alias("line_no"), F.col("event_type").alias("form"), F.floor(F.col("turn_index") / 4).cast("long").alias("turn_index"), "ts_ms"), within_ms=10**8)
 
 
-QUERIES = {f.__name__: f for f in (claude_turns, claude_unattributed, claude_compactions, dropped_records, first_lines, snapshot_merge, cumulative_delta, trusted_deltas, billed_requests, codex_evidence, codex_requests, assistant_turns, model_in_force, reconcile, usage_validity, incremental_summaries, windowed_usage, gemini_replay, compaction_pairs)}
+QUERIES = {f.__name__: f for f in (claude_turns, claude_unattributed, claude_compactions, session_headers, dropped_records, first_lines, snapshot_merge, cumulative_delta, trusted_deltas, billed_requests, codex_evidence, codex_requests, assistant_turns, model_in_force, reconcile, usage_validity, incremental_summaries, windowed_usage, gemini_replay, compaction_pairs)}
 
 _LINES = """, ln AS (SELECT session_id AS file, call_ord AS line_no, ts_ms, event_id, k, CASE WHEN event_id % 13 > 0 THEN 'm' || (call_ord // 3) END AS id, CASE WHEN event_id % 151 = 3 THEN 'fork-context-ref' WHEN event_id % 53 = 1 THEN 'compact_boundary' ELSE 'assistant' END AS type,
   event_id % 31 <> 7 AS valid, input, k * 3 AS output, CASE WHEN event_id % 2 = 0 THEN event_id % 7 * 100 ELSE 0 END AS cw FROM e WHERE event_id % 211 <> 5),
@@ -242,3 +261,8 @@ b AS (SELECT session_id, CASE WHEN ro IS NOT NULL THEN ti - ri ELSE 0 END AS bi,
 f AS (SELECT session_id, count(*) FILTER (gi <> 0 OR go <> 0 OR gc <> 0) AS n, coalesce(bool_and(coalesce(gi = ri AND go = ro AND gc = 1 AND gi >= 0 AND go >= 0, FALSE)) FILTER (gi <> 0 OR go <> 0 OR gc <> 0), TRUE) AS follows, coalesce(sum(gi), 0) AS si, coalesce(sum(go), 0) AS so, max(ti) AS mi, max(t_o) AS mo FROM g GROUP BY session_id)
 SELECT session_id, opens AND follows AS consistent, CAST(CASE WHEN opens AND follows THEN n + 1 ELSE 0 END AS BIGINT) AS n_requests, CAST(bi AS BIGINT) AS inherited_input, CAST(CASE WHEN opens AND follows THEN first_i + si ELSE 0 END AS BIGINT) AS input, CAST(CASE WHEN opens AND follows THEN first_o + so ELSE 0 END AS BIGINT) AS output,
   CAST(CASE WHEN opens AND follows THEN 0 ELSE greatest(0, mi - bi) END AS BIGINT) AS unattributed_input, CAST(CASE WHEN opens AND follows THEN 0 ELSE greatest(0, mo - bo) END AS BIGINT) AS unattributed_output FROM b JOIN f USING (session_id)"""
+
+ORACLE_SQL["session_headers"] = SQL + """, h AS (SELECT *, max(CASE WHEN event_id % 151 = 3 THEN call_ord END) OVER (PARTITION BY session_id) AS fork FROM e), o AS (SELECT *, (event_type = 'signup' AND uid % 2 = 0) AS titled, event_type = 'purchase' OR (event_type = 'signup' AND uid % 2 = 1) AS bot FROM h WHERE fork IS NULL OR call_ord > fork),
+w AS (SELECT *, CASE WHEN event_type = 'view' AND event_id % 3 <> 0 THEN 'what is ' || k WHEN event_type = 'click' THEN 'block ' || k END AS said, event_type IN ('view', 'click') OR bot AS timed FROM o)
+SELECT session_id AS file, coalesce('About ' || arg_max(k, call_ord) FILTER (titled), arg_min(said, call_ord) FILTER (said IS NOT NULL)) AS title, arg_min('m' || (k % 3), call_ord) FILTER (bot) AS model, min(ts_ms) FILTER (timed) AS started_ms, max(ts_ms) FILTER (timed) AS ended_ms,
+  arg_min('/p' || (k % 4), call_ord) FILTER (event_type = 'view') AS cwd, arg_min('b' || (k % 3), call_ord) FILTER (event_type = 'error') AS branch, coalesce(bool_or(event_id % 50 = 7 AND bot), FALSE) AS is_sidechain, count(said) AS n_user FROM w GROUP BY session_id"""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyflow.functions.text import epoch_ms
+from tallyflow.functions.text import epoch_ms, sanitize, truncate
 from tallyflow.functions.usage import MOST_TOKENS
 
 USAGE = "struct<input: bigint, output: bigint, cache_read: bigint, cache_creation: bigint, cc_5m: bigint, cc_1h: bigint, total: bigint>"
@@ -40,6 +40,8 @@ def _usage(**parts: Column) -> Column:
 
 # -- messages with ids and evolving snapshots -----------------------------------------------------------------
 
+CONTENT = "array<struct<type: string, text: string, id: string, name: string, input: string, tool_use_id: string, content: string, is_error: boolean>>"
+
 
 def after_fork(lines: DataFrame) -> DataFrame:
     """Lines after a file's last fork marker: what a fork inherits isn't its own."""
@@ -48,6 +50,55 @@ def after_fork(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_fork", fork).where("_fork is null or line_no > _fork").drop("_fork")
 
 
+#: What the command line tool writes into a log by itself, and the words of a compaction in a record of its own.
+ECHO = r"^\s*<(command-name|command-message|command-args|local-command-stdout|local-command-caveat)>"
+COMPACTED = r"(?i)\bcontext (?:was |has been )?compacted\b"
+
+
+def is_meta() -> Column:
+    return F.coalesce(get("isMeta") == "true", F.lit(False))
+
+
+def content_text() -> tuple[Column, Column, Column]:
+    """Of a message's content: its text if it is one, the first text among its blocks, and the texts of all its blocks together."""
+    raw = F.expr("try_variant_get(try_parse_json(line), '$.message.content', 'variant')")
+    kind = F.schema_of_variant(raw)
+    blocks = F.when(kind.like("ARRAY%"), F.from_json(get("message.content"), CONTENT))
+    texts = F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"])
+    firsts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    return F.when(kind == "STRING", get("message.content")), F.get(firsts, F.lit(0)), F.array_join(texts, "")
+
+
+def is_echo() -> Column:
+    return F.coalesce(content_text()[0].rlike(ECHO), F.lit(False))
+
+
+def claude_headers(lines: DataFrame) -> DataFrame:
+    """(file, title, model, started_ms, ended_ms, cwd, branch, is_sidechain, n_user) of each log: what a list of sessions shows.
+
+    The title is the last one that a model gave, else the first text of the user, without terminal sequences, at most 120 characters;
+    what the command line tool echoed is no text of the user. Times, texts and models are of records that aren't meta;
+    folder, branch and title also of those. Only lines after the last fork marker count. One aggregate a file.
+    """
+    text, block, _ = content_text()
+    own = after_fork(lines)
+    plain, user = ~is_meta(), get("type") == "user"
+    said = F.when(plain & user & F.expr("try_variant_get(try_parse_json(line), '$.message', 'variant') is not null"), F.when(text.isNotNull(), F.when(~text.rlike(ECHO), text)).otherwise(block))
+    kind = lambda p: F.schema_of_variant(F.expr(f"try_variant_get(try_parse_json(line), '$.{p}', 'variant')"))
+    named = lambda p: F.when((kind(p) == "STRING") & (get(p) != ""), get(p))
+    rows = own.select(
+        "file", "line_no", F.when((get("type") == "ai-title") & (kind("aiTitle") == "STRING"), get("aiTitle")).alias("given"), said.alias("said"), F.when(plain, epoch_ms(get("timestamp"))).alias("ts_ms"),
+        F.when(plain & (get("type") == "assistant") & ~is_echo(), get("message.model")).alias("model"), named("cwd").alias("cwd"), named("gitBranch").alias("branch"), (get("isSidechain") == "true").alias("side"),
+    )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    out = rows.groupBy("file").agg(
+        F.max_by("given", F.when(F.col("given").isNotNull(), F.col("line_no"))).alias("given"), first("said"), first("model"), F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), first("cwd"), first("branch"),
+        F.coalesce(F.max("side"), F.lit(False)).alias("is_sidechain"), F.count("said").alias("n_user"),
+    )
+    shown = lambda c: F.nullif(truncate(sanitize(F.col(c))), F.lit(""))
+    return out.select("file", F.coalesce(shown("given"), shown("said")).alias("title"), "model", "started_ms", "ended_ms", "cwd", "branch", "is_sidechain", "n_user")
+
+
 def claude_usage() -> tuple[Column, Column]:
     """(usage, valid). The flat count of cache writes wins over the split; a split that contradicts it is left out."""
     n, bad = zip(*(count(f"message.usage.{p}") for p in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens")))
@@ -76,7 +127,7 @@ def claude_turns(lines: DataFrame) -> DataFrame:
     A line without an id is a turn of its own; its usage goes to ``claude_unattributed``.
     """
     usage, valid = claude_usage()
-    own = after_fork(lines).where((get("type") == "assistant") & ~F.coalesce(get("isMeta") == "true", F.lit(False)))
+    own = after_fork(lines).where((get("type") == "assistant") & ~is_meta() & ~is_echo())
     rows = own.select("file", "line_no", F.coalesce(get("message.id"), F.concat(F.lit("line:"), F.col("line_no").cast("string"))).alias("key"), get("message.id").isNotNull().alias("named"), get("message.model").alias("model"), epoch_ms(get("timestamp")).alias("ts_ms"), usage.alias("usage"), valid.alias("valid"), get("message.usage").isNotNull().alias("has_usage"))
     turns = rows.groupBy("file", "key").agg(F.min("line_no").alias("first_line"), F.min_by("ts_ms", "line_no").alias("ts_ms"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("line_no"))).alias("model"), F.bool_or(F.col("has_usage") & F.col("named")).alias("has_usage"))
     merged = merge_snapshots(rows.where("named and has_usage"), ["file", "key"]).drop("first_line")
@@ -88,13 +139,10 @@ def claude_turns(lines: DataFrame) -> DataFrame:
 def claude_unattributed(lines: DataFrame) -> DataFrame:
     """Per file the best single snapshot of usage without a message id."""
     usage, valid = claude_usage()
-    rows = after_fork(lines).where((get("type") == "assistant") & get("message.id").isNull() & get("message.usage").isNotNull()).select("file", "line_no", usage.alias("usage"), valid.alias("valid"))
+    rows = after_fork(lines).where((get("type") == "assistant") & get("message.id").isNull() & get("message.usage").isNotNull() & ~is_meta() & ~is_echo()).select("file", "line_no", usage.alias("usage"), valid.alias("valid"))
     return merge_snapshots(rows, ["file"]).drop("first_line")
 
 
-CONTENT = "array<struct<type: string, text: string, id: string, name: string, input: string, tool_use_id: string, content: string, is_error: boolean>>"
-
-
 def claude_calls(lines: DataFrame) -> DataFrame:
     """Calls with their results: the first call of an id counts, and the last result of it."""
     items = after_fork(lines).select("file", "line_no", epoch_ms(get("timestamp")).alias("ts_ms"), F.coalesce(get("message.id"), F.concat(F.lit("line:"), F.col("line_no").cast("string"))).alias("key"), F.posexplode(F.from_json(get("message.content"), CONTENT)).alias("place", "c"))
@@ -109,8 +157,10 @@ def claude_calls(lines: DataFrame) -> DataFrame:
 def claude_compactions(lines: DataFrame) -> DataFrame:
     """(file, turn_index of the next turn, ts_ms): the first definite marker before each turn."""
     own = after_fork(lines)
-    marker = get("type").isin("compact-summary", "compact_boundary", "compact-boundary") | F.coalesce(get("isCompactSummary") == "true", F.lit(False))
-    key = F.when(get("type") == "assistant", F.coalesce(get("message.id"), F.concat(F.lit("line:"), F.col("line_no").cast("string"))))
+    text, _, blocks = content_text()
+    told = is_meta() & (get("type") == "user") & F.coalesce(text, blocks).rlike(COMPACTED)
+    marker = get("type").isin("compact-summary", "compact_boundary", "compact-boundary") | F.coalesce(get("isCompactSummary") == "true", F.lit(False)) | F.coalesce(told, F.lit(False))
+    key = F.when((get("type") == "assistant") & ~is_meta() & ~is_echo(), F.coalesce(get("message.id"), F.concat(F.lit("line:"), F.col("line_no").cast("string"))))
     rows = own.select("file", "line_no", epoch_ms(get("timestamp")).alias("ts_ms"), F.coalesce(marker, F.lit(False)).alias("marker"), key.alias("key"))
     first = rows.withColumn("new", (F.col("key").isNotNull() & (F.row_number().over(W.partitionBy("file", "key").orderBy("line_no")) == 1)).cast("int"))
     at = first.withColumn("turn_index", F.coalesce(F.sum("new").over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))

@@ -100,6 +100,21 @@ def test_running_totals(spark):
     assert X.evidence(lines(spark, user, setup)).count() == 0 and X.units(ls.limit(0)).count() == 0
 
 
+def test_headers_echoes_and_told_compactions(spark):
+    user = lambda c, at=None, **k: {"type": "user", "message": {"content": c}, **({"timestamp": at} if at else {}), **k}
+    title = lambda t: {"type": "ai-title", "aiTitle": t}
+    ls = lines(spark, user("before the fork", 1), title("old"), {"type": "fork-context-ref"}, user("meta", 1, isMeta=True, cwd="/m", gitBranch="main"), user("<command-name>x</command-name>", 3000), user([{"type": "tool_result", "text": "no"}, {"type": "text", "text": "\x1b[1mHi\n  there\x07"}], 2000),
+               user("second", 9000, cwd="/n", isSidechain=True), say("m1", 1, 5000), say("m2", 1, 5001, content="<local-command-stdout>out"))
+    assert tuple(N.claude_headers(ls).first())[1:] == ("Hi there", "claude-a", 2_000_000, 9_000_000, "/m", "main", True, 2)
+    assert N.claude_turns(ls).count() == 1  # an echo is no answer
+    ls = lines(spark, title("first"), title("x" * 200), title(3), user("[not a list]", 5))
+    assert N.claude_headers(ls).first()["title"] == "x" * 119 + "…"
+    assert N.claude_headers(lines(spark, title(" \x07 "), user("[not a list]", 5))).first()["title"] == "[not a list]"
+    assert N.claude_headers(ls.limit(0)).count() == 0 and N.claude_headers(lines(spark, {"type": "x"})).first()["title"] is None
+    told = lines(spark, say("m1", 1, 1), user("The context was compacted.", 2, isMeta=True), user("context compacted", 3), say("m2", 1, 4), user([{"type": "text", "text": "Context has been compacted"}], 5, isMeta=True))
+    assert sorted((r["turn_index"], r["ts_ms"]) for r in N.claude_compactions(told).collect()) == [(1, 2000), (2, 5000)]
+
+
 def test_compaction_pairs(spark):
     rows = spark.createDataFrame([("f", 1, "a", 0, 1000), ("f", 2, "b", 0, 6000), ("f", 3, "a", 0, 6500), ("f", 4, "a", 0, 6600), ("f", 5, "b", 1, 6700), ("f", 6, "a", 1, 11_701), ("f", 7, "b", 1, None)], "file string, line_no long, form string, turn_index long, ts_ms long")
     assert sorted((r["turn_index"], r["ts_ms"]) for r in N.pair_compactions(rows).collect()) == [(0, 1000), (0, 6500), (0, 6600), (1, 6700), (1, 11_701)]
