@@ -109,3 +109,21 @@ def select_session(sessions: DataFrame, selector: str = "") -> DataFrame:
         return newest(sessions, int(selector)).withColumn("_place", place).where(F.col("_place") == int(selector)).drop("_place")
     by_id, by_title = F.col("session_id") == selector, F.contains(F.lower("title"), F.lit(selector.lower()))
     return sessions.where(by_id | by_title).orderBy(by_id.desc(), at.desc(), "session_id").limit(1)
+
+
+#: Fixed value: readings of a quota that are nearer than a minute tell no rate.
+LEAST_GAP_MS = 60_000
+
+
+def cap_crossing(readings: DataFrame, key: str, order: str = "observed_ms") -> DataFrame:
+    """Adds ``crossing_ms``: when a quota is full if it goes on rising as from the reading before; null where that can't be told.
+
+    ``readings``: (key, observed_ms, used in per cent, resets_ms). Both readings are of one window (the same reset), the earlier isn't
+    of the future, they are a minute apart, the use has risen, and the crossing comes before the reset.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    before, at, reset = F.lag("used").over(w), F.lag("observed_ms").over(w), F.lag("resets_ms").over(w)
+    gap = F.col("observed_ms") - at
+    crossing = F.col("observed_ms") + (100 - F.col("used")) * gap / F.nullif(F.col("used") - before, F.lit(0))
+    sure = (reset == F.col("resets_ms")) & (gap >= LEAST_GAP_MS) & (F.col("used") > before) & (crossing < F.col("resets_ms"))
+    return readings.withColumn("crossing_ms", F.when(sure, F.floor(crossing).cast("long")))

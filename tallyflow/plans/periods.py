@@ -70,15 +70,12 @@ def burn_rate(spark, sf):
 
 
 def quota_eta(spark, sf):
-    """From two readings of a quota in a row, how long until it is full on a straight line; null unless it rises."""
-    from pyspark.sql import Window as W
-
-    e = D.events(spark, sf).select("session_id", "call_ord", "ts_ms", F.col("k").alias("used"))
-    w = W.partitionBy("session_id").orderBy("call_ord")
-    before, t0 = F.lag("used").over(w), F.lag("ts_ms").over(w)
-    rate = (F.col("used") - before) / F.nullif(F.col("ts_ms") - t0, F.lit(0))
-    eta = F.when((F.col("used") < 100) & (F.col("used") > before), F.floor((100 - F.col("used")) / rate).cast("long"))
-    return e.withColumn("eta_ms", eta).where("eta_ms is not null").groupBy("session_id").agg(F.count("*").alias("n"), F.max("used").alias("most"), F.min("eta_ms").alias("least_eta_ms"), F.max("eta_ms").alias("most_eta_ms"))
+    """Two readings of a quota in a row tell when it is full, where all guards hold; its window is seven days, some readings are copies
+    of the one before, and some clocks go back."""
+    shift = F.when(F.col("event_id") % 13 == 0, -900_000_000).otherwise(0)
+    e = D.events(spark, sf).select("session_id", "call_ord", (F.col("ts_ms") + shift).alias("observed_ms"), F.col("k").alias("used"), (F.floor(F.col("ts_ms") / 604_800_000) * 604_800_000 + 604_800_000).cast("long").alias("resets_ms"))
+    e = V.cap_crossing(e, "session_id", "call_ord").where("crossing_ms is not null")
+    return e.groupBy("session_id").agg(F.count("*").alias("n"), F.max("used").alias("most"), F.min(F.col("crossing_ms") - F.col("observed_ms")).alias("least_eta_ms"), F.max(F.col("crossing_ms") - F.col("observed_ms")).alias("most_eta_ms"))
 
 
 def bucket_counts(spark, sf):
@@ -108,6 +105,7 @@ ORACLE_SQL = {
     "project_bucket": SQL + "SELECT regexp_extract(cwd, '([^/]*)/*$', 1) AS project, false AS literal_glob, true AS glob, count(*) AS n_sessions, CAST(sum(tokens) AS BIGINT) AS tokens FROM sessions GROUP BY ALL",
     "title_sanitize": r"WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g') || ' end') AS s, text FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN length(s) > 120 THEN s[1:119] || '…' ELSE s END AS title, regexp_replace(regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM t",
     "burn_rate": SQL + ", d AS (SELECT *, (ended_ms - started_ms + 500) // 1000 AS s FROM sessions WHERE pico IS NOT NULL AND unpriced_tokens = 0 AND ended_ms > started_ms) SELECT session_id, round(CAST(pico AS DOUBLE) / ((ended_ms - started_ms) / 3600000), 3) AS pico_per_hour, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE s || 's' END AS took FROM d",
-    "quota_eta": SQL + ", l AS (SELECT session_id, k, ts_ms, lag(k) OVER w AS k0, lag(ts_ms) OVER w AS t0 FROM e WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)) SELECT session_id, count(*) AS n, max(k) AS most, CAST(min(floor((100 - k) / ((k - k0) / (ts_ms - t0)))) AS BIGINT) AS least_eta_ms, CAST(max(floor((100 - k) / ((k - k0) / (ts_ms - t0)))) AS BIGINT) AS most_eta_ms FROM l WHERE k < 100 AND k > k0 AND ts_ms <> t0 GROUP BY session_id",
+    "quota_eta": SQL + """, r AS (SELECT session_id, call_ord, k, ts_ms - CASE WHEN event_id % 13 = 0 THEN 900000000 ELSE 0 END AS obs, ts_ms // 604800000 * 604800000 + 604800000 AS rs FROM e), l AS (SELECT *, lag(k) OVER w AS k0, lag(obs) OVER w AS t0, lag(rs) OVER w AS r0 FROM r WINDOW w AS (PARTITION BY session_id ORDER BY call_ord)),
+c AS (SELECT *, obs + (100 - k) * (obs - t0) / CAST(k - k0 AS DOUBLE) AS x FROM l WHERE r0 = rs AND t0 <= obs AND obs - t0 >= 60000 AND k > k0) SELECT session_id, count(*) AS n, max(k) AS most, CAST(min(floor(x) - obs) AS BIGINT) AS least_eta_ms, CAST(max(floor(x) - obs) AS BIGINT) AS most_eta_ms FROM c WHERE x < rs GROUP BY session_id""",
     "bucket_counts": SQL + "SELECT CASE WHEN ended_ms - started_ms < 3600000 THEN 'hour' WHEN ended_ms - started_ms < 86400000 THEN 'day' WHEN ended_ms - started_ms < 604800000 THEN 'week' ELSE 'more' END AS took, CASE WHEN tokens < 10000 THEN 'small' WHEN tokens < 50000 THEN 'middle' ELSE 'large' END AS size, count(*) AS n_sessions FROM sessions GROUP BY ALL",
 }

@@ -111,3 +111,13 @@ def test_rows_of_all(spark):
     known = spark.createDataFrame([("a",), ("b",), ("b",)], "vendor string")
     assert sorted(map(tuple, rows_of_all(known, units, "vendor").collect())) == [("a", 2, 3, 3), ("b", 0, 0, 0)]
     assert sorted(map(tuple, rows_of_all(known, units.limit(0), "vendor").collect())) == [("a", 0, 0, 0), ("b", 0, 0, 0)]
+
+
+def test_cap_crossing_guards(spark):
+    from tallyflow.operators.windows import cap_crossing
+
+    m, reset = 60_000, 10_000_000
+    rows = [("ok", 0, 40, reset), ("ok", m, 50, reset), ("near", 0, 40, reset), ("near", m - 1, 50, reset), ("falls", 0, 50, reset), ("falls", m, 40, reset), ("level", 0, 50, reset), ("level", m, 50, reset), ("window", 0, 40, reset), ("window", m, 50, reset + 1), ("late", 0, 50, 61 * m), ("late", m, 51, 50 * m), ("late reset", 0, 50, 50 * m), ("late reset", m, 51, 50 * m), ("one", 0, 50, reset), ("full", 0, 90, reset), ("full", m, 100, reset)]
+    df = spark.createDataFrame([(k, i, *r) for i, (k, *r) in enumerate(rows)] + [("future", 99, m, 40, reset), ("future", 100, 0, 50, reset)], "k string, n int, observed_ms long, used long, resets_ms long")
+    got = {r["k"]: r["crossing_ms"] for r in cap_crossing(df, "k", "n").where("crossing_ms is not null").collect()}
+    assert got == {"ok": 6 * m, "full": m}
