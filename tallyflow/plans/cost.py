@@ -9,6 +9,7 @@ from tallyflow.functions import text as X
 from tallyflow.functions import usage as U
 from tallyflow.operators import attribution as A
 from tallyflow.operators import pricing as P
+from tallyflow.operators import receipt as R
 from tallyflow.plans import derive as D
 from tallyflow.plans.derive import SQL
 
@@ -121,13 +122,40 @@ def usd_ledger(spark, sf):
     return rows.select("session_id", "model", "day", "decimals", "amount", "total_amount")
 
 
+def receipts(spark, sf):
+    """A receipt a session; every fifth session is a child of the one before, some of them unreadable, and has none."""
+    p = priced(spark, sf).withColumn("u", F.col("session_id").cast("long"))
+    s = p.groupBy("session_id", "u").agg(F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"))
+    s = s.withColumns({"source": F.concat(F.lit("src"), (F.col("u") % 3).cast("string")), "title": F.when(F.col("u") % 4 > 0, F.concat(F.lit('Title, "'), F.col("u").cast("string"), F.lit('"')))})
+    gap = F.col("pico").isNull()
+    vector = lambda make: F.struct(*[make(c).alias(c) for c in R.PARTS])
+    kids = p.where("u % 5 = 1").groupBy("u").agg(F.sum("pico").cast("decimal(38,0)").alias("pico"), vector(lambda c: F.sum(c)).alias("tokens"), vector(lambda c: F.sum(F.when(gap, F.col(c)).otherwise(0))).alias("unpriced"))
+    kids = kids.select((F.col("u") - 1).cast("string").alias("parent_id"), (F.col("u") % 35 == 1).alias("unreadable"), "pico", "tokens", "unpriced")
+    return R.receipts(s.where("u % 5 <> 1").drop("u"), p.drop("u"), D.calls(spark, sf), kids)
+
+
+def receipt_sessions(spark, sf):
+    usd = ["totalUsd", "subagentsPricedUsd", "combinedPricedUsd"]
+    return R.session_table(receipts(spark, sf)).withColumns({c: F.round(c, 9) for c in usd})
+
+
+def receipt_tools(spark, sf):
+    return R.tool_table(receipts(spark, sf)).withColumns({c: F.round(c, 4) for c in ("usd", "inputTokens", "outputTokens", "cacheReadTokens", "cacheCreationTokens", "totalTokens")})
+
+
+def compare_receipts(spark, sf):
+    r = receipts(spark, sf)
+    pairs = r.select(F.col("session_id").alias("a_id"), (F.col("session_id").cast("long") + 1).cast("string").alias("b_id"))
+    return R.compared(r, pairs).withColumn("usd_delta", F.round("usd_delta", 7))
+
+
 def token_formats(spark, sf):
     t = turns(spark, sf)
     names = ["<1k", "1k-5k", "5k-20k", "20k+"]
     return t.select("session_id", "turn_index", X.short_tokens(F.col("total")).alias("short"), X.bucket(F.col("total"), [1000, 5000, 20000], names).alias("bucket"), X.share(F.col("cache_read"), F.col("total")).alias("cached"))
 
 
-QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, tool_rows, vendor_rows, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, usd_ledger, token_formats)}
+QUERIES = {f.__name__: f for f in (price_units_by_model, price_flags, tier_boundary, price_turns, envelope_units, tool_attribution, tool_rows, vendor_rows, session_totals, cost_by_session_model, model_mix, peak_turn, price_rows_used, cheapest_row, price_delta, book_faults, usd_floor, usd_ledger, receipt_sessions, receipt_tools, compare_receipts, token_formats)}
 
 TOOLS = ", n AS (SELECT session_id, turn_index, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT t.session_id, coalesce(name, '(thinking/reply)') AS tool, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS k, CAST(pico AS DOUBLE) / coalesce(n, 1) AS pico, CAST(total AS DOUBLE) / coalesce(n, 1) AS tokens FROM turns t LEFT JOIN n USING (session_id, turn_index) LEFT JOIN calls c USING (session_id, turn_index)), p AS (SELECT session_id, tool, sum(k) AS k, sum(pico) AS pico, sum(tokens) AS tokens FROM s GROUP BY ALL), r AS (SELECT tool, CAST(sum(k) AS BIGINT) AS n_calls, round(sum(pico) / 1e12, 7) AS usd, round(sum(tokens), 1) AS tokens, count(pico) AS n_priced FROM p GROUP BY tool)"
 
@@ -144,6 +172,19 @@ def _shown(v: str, d: str) -> str:
     return _units(f"(greatest({v}, 0) // CAST(pow(10, 12 - {d}) AS HUGEINT))", d)
 
 
+_PARTS = ("input", "output", "cache_read", "cache_creation", "total")
+_HEADS = ("InputTokens", "OutputTokens", "CacheReadTokens", "CacheCreationTokens", "TotalTokens")
+_sums = lambda c, p: ", ".join(f"CAST(coalesce(sum({c.format(x)}), 0) AS BIGINT) AS {p}{x}" for x in _PARTS)
+_RECEIPTS = f"""{SQL}, pu AS MATERIALIZED (SELECT *, CAST(session_id AS BIGINT) AS u FROM priced),
+own AS MATERIALIZED (SELECT u, min(ts_ms) AS s, max(ts_ms) AS e, sum(pico) AS pico, bool_or(write_floor OR read_floor) AS fl, {_sums("{}", "t_")}, {_sums("CASE WHEN pico IS NULL THEN {} END", "g_")} FROM pu GROUP BY u),
+kids AS (SELECT u - 1 AS u, u % 35 = 1 AS bad, * EXCLUDE (u) FROM own WHERE u % 5 = 1),
+k AS (SELECT u, count(*) AS n, sum(CASE WHEN NOT bad THEN pico END) AS kp, CAST(coalesce(sum(CASE WHEN NOT bad THEN t_total END), 0) AS BIGINT) AS kt, {", ".join(f"CAST(coalesce(sum(CASE WHEN bad THEN 0 WHEN pico IS NULL THEN t_{x} ELSE g_{x} END), 0) AS BIGINT) AS c_{x}" for x in _PARTS)}, count(*) FILTER (NOT bad AND (pico IS NULL OR g_total > 0)) AS nu, count(*) FILTER (bad) AS nb FROM kids GROUP BY u),
+first AS (SELECT u, model FROM (SELECT u, model, sum(total) AS n FROM pu GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, model) = 1),
+r AS MATERIALIZED (SELECT o.*, k.* EXCLUDE (u), model, CASE WHEN pico IS NULL THEN 'unpriced' WHEN g_total > 0 OR fl THEN 'partial' ELSE 'full' END AS cov, CASE WHEN pico IS NOT NULL OR kp IS NOT NULL THEN coalesce(pico, 0) + coalesce(kp, 0) END AS summed FROM own o LEFT JOIN k ON k.u = o.u JOIN first f ON f.u = o.u WHERE o.u % 5 <> 1)
+"""
+_kind = lambda c, p: f"CASE WHEN {c} IS NOT NULL THEN '{R.KIND}' END AS {p}Kind, CASE WHEN {c} IS NOT NULL THEN '{R.BASIS}' END AS {p}Basis"
+_cells = lambda expr, p: ", ".join(f"{expr.format(x)} AS {p + h if p else h[0].lower() + h[1:]}" for x, h in zip(_PARTS, _HEADS))
+
 ORACLE_SQL = {
     "price_units_by_model": SQL + "SELECT model, CAST(sum(pico) AS DECIMAL(38,0)) AS pico, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(CASE WHEN pico IS NULL THEN total ELSE 0 END) AS BIGINT) AS unpriced_tokens, count(*) AS n_units FROM priced GROUP BY model",
     "price_flags": SQL + "SELECT vendor, model, CAST(sum(CAST(write_floor AS INT)) AS BIGINT) AS n_write_floor, CAST(sum(CAST(read_floor AS INT)) AS BIGINT) AS n_read_floor, CAST(sum(CASE WHEN c_r_in >= c_r_cached THEN cache_read * (c_r_in - c_r_cached) END) AS DECIMAL(38,0)) AS cached_saving FROM priced GROUP BY ALL",
@@ -167,4 +208,13 @@ ORACLE_SQL = {
     + "x AS (SELECT *, sum(u) OVER (PARTITION BY session_id ORDER BY u DESC, model, day ROWS UNBOUNDED PRECEDING) - u AS before, greatest(0, sum(u) OVER (PARTITION BY session_id) - most) AS excess FROM u), y AS (SELECT *, u - greatest(0, least(u, excess - before)) AS v FROM x), z AS (SELECT *, sum(v) OVER (PARTITION BY session_id) AS s FROM y) "
     + f"SELECT session_id, model, day, CAST(d AS INTEGER) AS decimals, {_units('v', 'd')} AS amount, {_units('s', 'd')} AS total_amount FROM z",
     "token_formats": SQL + ", i AS (SELECT session_id, turn_index, CAST(total AS BIGINT) AS total, CAST(cache_read AS BIGINT) AS cache_read, CAST(floor(100 * CAST(cache_read AS DOUBLE) / total + 0.5) AS BIGINT) AS p FROM turns) SELECT session_id, turn_index, CASE WHEN total < 1000 THEN CAST(total AS VARCHAR) WHEN total < 9950 THEN regexp_replace(((total + 50) // 100 // 10) || '.' || ((total + 50) // 100 % 10), '[.]0$', '') || 'k' WHEN total < 999500 THEN ((total + 500) // 1000) || 'k' WHEN total < 9950000 THEN regexp_replace(((total + 50000) // 100000 // 10) || '.' || ((total + 50000) // 100000 % 10), '[.]0$', '') || 'M' ELSE ((total + 500000) // 1000000) || 'M' END AS short, CASE WHEN total < 1000 THEN '<1k' WHEN total < 5000 THEN '1k-5k' WHEN total < 20000 THEN '5k-20k' ELSE '20k+' END AS bucket, CASE WHEN p <= 0 AND cache_read > 0 THEN '<1%' WHEN p >= 100 AND cache_read < total THEN '>99%' ELSE p || '%' END AS cached FROM i",
+    "receipt_sessions": _RECEIPTS + f"""SELECT {R.VERSION} AS schemaVersion, CAST(u AS VARCHAR) AS sessionId, 'src' || (u % 3) AS agent, CASE WHEN u % 4 > 0 THEN 'Title, "' || u || '"' ELSE '' END AS title, strftime(epoch_ms(s), '%Y-%m-%dT%H:%M:%S.%gZ') AS startedAt, e - s AS durationMs, model AS primaryModel, round(CAST(pico AS DOUBLE) / 1e12, 9) AS totalUsd,
+{_cells("t_{}", "")}, {_kind("pico", "cost")}, '{R.PARENT}' AS totalUsdScope, round(CAST(kp AS DOUBLE) / 1e12, 9) AS subagentsPricedUsd, round(CAST(summed AS DOUBLE) / 1e12, 9) AS combinedPricedUsd, {_kind("summed", "combinedCost")}, coalesce(kt, 0) AS subagentsTokens, t_total + coalesce(kt, 0) AS combinedTotalTokens,
+coalesce(n, 0) AS subagentCount, coalesce(nu, 0) AS subagentUnpricedCount, coalesce(nb, 0) AS subagentUnreadableCount, cov AS pricingCoverage, {_cells("g_{}", "unpriced")}, '{R.PARENT}' AS unpricedTokensScope, {_kind("kp", "subagentsCost")}, '{R.CHILDREN}' AS subagentsUsdScope, {_cells("coalesce(c_{}, 0)", "subagentsUnpriced")},
+'{R.CHILDREN}' AS subagentsUnpricedTokensScope, {", ".join(f"g_{x} + coalesce(c_{x}, 0) AS combinedUnpriced{h}" for x, h in zip(_PARTS, _HEADS))}, '{R.BOTH}' AS combinedUnpricedTokensScope, CASE WHEN summed IS NULL THEN 'unpriced' WHEN cov <> 'full' OR coalesce(c_total, 0) > 0 OR coalesce(nu, 0) > 0 OR coalesce(nb, 0) > 0 THEN 'partial' ELSE 'full' END AS combinedPricingCoverage FROM r""",
+    "receipt_tools": _RECEIPTS + f""", n AS (SELECT session_id, turn_index, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT CAST(t.session_id AS BIGINT) AS u, coalesce(name, '(thinking/reply)') AS tool, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS c, CAST(pico AS DOUBLE) / coalesce(n, 1) AS pico, {", ".join(f"CAST({x} AS DOUBLE) / coalesce(n, 1) AS {x}" for x in _PARTS)} FROM turns t LEFT JOIN n USING (session_id, turn_index) LEFT JOIN calls c USING (session_id, turn_index)),
+p AS (SELECT u, tool, sum(c) AS c, sum(pico) AS pico, {", ".join(f"sum({x}) AS {x}" for x in _PARTS)} FROM s GROUP BY ALL)
+SELECT {R.VERSION} AS schemaVersion, CAST(r.u AS VARCHAR) AS sessionId, 'src' || (r.u % 3) AS agent, tool, round(p.pico / 1e12, 4) AS usd, {_cells("round(p.{}, 4)", "")}, CAST(c AS BIGINT) AS callCount, {_kind("p.pico", "cost")}, '{R.TOOL}' AS costScope, CASE WHEN p.pico IS NULL THEN 'unpriced' WHEN cov = 'full' THEN 'full' ELSE 'indeterminate' END AS pricingCoverage,
+CASE WHEN p.pico IS NOT NULL AND cov <> 'full' THEN '{R.LIMITATION}' ELSE '' END AS pricingCoverageLimitation FROM r JOIN p ON p.u = r.u""",
+    "compare_receipts": _RECEIPTS + "SELECT CAST(a.u AS VARCHAR) AS a_id, CAST(b.u AS VARCHAR) AS b_id, b.t_total - a.t_total AS tokens_delta, round(CAST(b.pico AS DOUBLE) / 1e12 - CAST(a.pico AS DOUBLE) / 1e12, 7) AS usd_delta FROM r a JOIN r b ON b.u = a.u + 1",
 }
