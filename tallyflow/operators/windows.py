@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,15 +115,19 @@ def select_session(sessions: DataFrame, selector: str = "") -> DataFrame:
 LEAST_GAP_MS = 60_000
 
 
-def cap_crossing(readings: DataFrame, key: str, order: str = "observed_ms") -> DataFrame:
-    """Adds ``crossing_ms``: when a quota is full if it goes on rising as from the reading before; null where that can't be told.
+def crossing(before: Column, at: Column, reset: Column) -> Column:
+    """When a quota is full if it goes on rising as since an earlier reading; null where that can't be told.
 
-    ``readings``: (key, observed_ms, used in per cent, resets_ms). Both readings are of one window (the same reset), the earlier isn't
-    of the future, they are a minute apart, the use has risen, and the crossing comes before the reset.
+    Both readings (the later in observed_ms, used in per cent, resets_ms) are of one window, the same reset; the earlier isn't of the
+    future, they are a minute apart, the use has risen, and the crossing comes before the reset.
     """
-    w = W.partitionBy(key).orderBy(order)
-    before, at, reset = F.lag("used").over(w), F.lag("observed_ms").over(w), F.lag("resets_ms").over(w)
     gap = F.col("observed_ms") - at
-    crossing = F.col("observed_ms") + (100 - F.col("used")) * gap / F.nullif(F.col("used") - before, F.lit(0))
-    sure = (reset == F.col("resets_ms")) & (gap >= LEAST_GAP_MS) & (F.col("used") > before) & (crossing < F.col("resets_ms"))
-    return readings.withColumn("crossing_ms", F.when(sure, F.floor(crossing).cast("long")))
+    full = F.col("observed_ms") + (100 - F.col("used")) * gap / F.nullif(F.col("used") - before, F.lit(0))
+    sure = (reset == F.col("resets_ms")) & (gap >= LEAST_GAP_MS) & (F.col("used") > before) & (full < F.col("resets_ms"))
+    return F.when(sure, F.floor(full).cast("long"))
+
+
+def cap_crossing(readings: DataFrame, key: str, order: str = "observed_ms") -> DataFrame:
+    """Adds ``crossing_ms`` to readings (key, observed_ms, used, resets_ms), each from the reading before it."""
+    w = W.partitionBy(key).orderBy(order)
+    return readings.withColumn("crossing_ms", crossing(F.lag("used").over(w), F.lag("observed_ms").over(w), F.lag("resets_ms").over(w)))
