@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.functions.shell import invocations
+from tallyflow.functions.stages import stored
 from tallyflow.operators import git_evidence as G
 from tallyflow.operators.branch import recover_by_patch, resolve_shas
 
@@ -26,7 +27,7 @@ def claims(calls: DataFrame, commits: DataFrame, patches: DataFrame) -> tuple[Da
     claims that commit directly. ``foreign``: sessions that wrote commits of no branch commit. ``patches``: (run, patch_id).
     """
     runs = G.call_writes(calls).select("session_id", "verb", F.explode("runs").alias("run")).distinct()
-    named = resolve_shas(runs, commits)
+    named = stored(resolve_shas(runs, commits))
     direct = named.where("sha is not null").select("session_id", "sha").distinct()
     foreign = named.where("n_matches = 0").select("session_id").distinct()
     orphans = named.where("n_matches = 0 and verb = 'commit'").select("session_id", "run").distinct()
@@ -35,7 +36,7 @@ def claims(calls: DataFrame, commits: DataFrame, patches: DataFrame) -> tuple[Da
     recovered = recover_by_patch(orphans.join(patch, "run").select(F.col("run").alias("sha"), "patch_id"), heads)
     owners = direct.groupBy("sha").agg(F.min("session_id").alias("lo"), F.max("session_id").alias("hi"))
     found = orphans.join(recovered.select(F.col("orphan_sha").alias("run"), "sha"), "run").join(owners, "sha", "left")
-    return direct, found.where("lo is null or (lo = session_id and hi = session_id)").select("session_id", "run", "sha"), foreign
+    return direct, stored(found.where("lo is null or (lo = session_id and hi = session_id)").select("session_id", "run", "sha")), foreign
 
 
 def contributors(candidates: DataFrame, calls: DataFrame, commits: DataFrame, patches: DataFrame) -> DataFrame:
@@ -45,8 +46,11 @@ def contributors(candidates: DataFrame, calls: DataFrame, commits: DataFrame, pa
     for a session with a commit of the branch, direct or recovered; ``helper`` for one of codex that wrote nothing, in this worktree;
     ``message`` for one in this worktree that alone names exactly one commit's subject: unclaimed, on the branch once, long enough, and
     the session has no writes elsewhere. Else ``event`` tells why it is left out, null if it is none of ours.
+
+    What has several uses is stored in the shared folder: the calls as git commands, the claims, and what is known of each candidate.
     """
-    mine = calls.join(candidates.where("loaded").select("session_id"), "session_id", "left_semi")
+    candidates = stored(candidates)
+    mine = stored(G.told(calls).join(candidates.where("loaded").select("session_id"), "session_id", "left_semi"))
     direct, aliases, foreign = claims(mine, commits, patches)
     commands = G.git_commands(mine)
     summary = G.anchor_summary(G.owned(commands, commits))
@@ -56,7 +60,7 @@ def contributors(candidates: DataFrame, calls: DataFrame, commits: DataFrame, pa
 
     c = candidates.join(summary, "session_id", "left").join(aliases.select("session_id", F.lit(True).alias("recovered")).distinct(), "session_id", "left").join(foreign.withColumn("elsewhere", F.lit(True)), "session_id", "left")
     c = c.withColumns({"here": F.expr("pool = 'repo' and in_worktree"), "own": F.expr("coalesce(has_own, false) or coalesce(recovered, false)"), "writes": F.coalesce("write_count", F.lit(0))})
-    c = c.withColumn("quiet_codex", F.expr("source = 'codex' and writes = 0"))
+    c = stored(c.withColumn("quiet_codex", F.expr("source = 'codex' and writes = 0")))
     asks = G.commit_subjects(mine).join(c.where("loaded and here and not own and not quiet_codex").select("session_id"), "session_id", "left_semi").join(eligible, "subject", "left_semi")
     asks = asks.withColumn("claimants", F.count("*").over(W.partitionBy("subject")))
     named = asks.groupBy("session_id").agg(F.count("*").alias("subjects"), F.max("claimants").alias("claimants")).where("subjects = 1 and claimants = 1").select("session_id", F.lit(True).alias("named"))

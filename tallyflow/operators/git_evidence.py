@@ -141,6 +141,18 @@ def confirmed(verb: str, output: str) -> Column:
     return F.expr(f"filter(transform({lines}, l -> {one}), x -> x <> '')")
 
 
+def told(calls: DataFrame) -> DataFrame:
+    """(session_id, turn_index, call_ord, commit_runs, push_runs, gits): the shell calls that run git, with their commands as ``git_call``
+    cuts them and all SHAs that lines of either verb confirm.
+
+    What reads calls below takes this table too, so a caller with several uses for it can store it and cut no command line twice.
+    """
+    if "gits" in calls.columns:
+        return calls
+    shell = calls.where("is_shell").select("session_id", "turn_index", "call_ord", confirmed("commit", "output").alias("commit_runs"), confirmed("push", "output").alias("push_runs"), invocations(F.col("input_json")).alias("argvs"))
+    return shell.withColumn("gits", F.expr(f"transform(argvs, argv -> {git_call('argv')})")).drop("argvs").where("exists(gits, g -> g is not null)")
+
+
 def git_commands(calls: DataFrame) -> DataFrame:
     """(session_id, turn_index, call_ord, inv_ord, git, amend, barrier, runs): the git commands of shell calls, one row each.
 
@@ -148,8 +160,7 @@ def git_commands(calls: DataFrame) -> DataFrame:
     for this command: as many commits as commit lines pair one to one, a lone push takes all push lines, anything else is
     ambiguous and takes none. Nothing is shuffled.
     """
-    shell = calls.where("is_shell").select("session_id", "turn_index", "call_ord", confirmed("commit", "output").alias("commit_runs"), confirmed("push", "output").alias("push_runs"), invocations(F.col("input_json")).alias("argvs"))
-    gits = shell.withColumn("gits", F.expr(f"transform(argvs, argv -> {git_call('argv')})"))
+    gits = told(calls)
     at = lambda sub: F.expr(f"filter(transform(gits, (g, i) -> if(g.sub = '{sub}', i, null)), i -> i is not null)")
     each = gits.withColumn("commits", at("commit")).withColumn("pushes", at("push")).select("*", F.posexplode("gits").alias("inv_ord", "git")).where("git is not null")
     runs = F.expr("""case when git.sub = 'commit' and size(commits) = size(commit_runs) then array(get(commit_runs, cast(array_position(commits, inv_ord) - 1 as int)))
@@ -239,9 +250,8 @@ def anchor_events(commands: DataFrame) -> DataFrame:
 def call_writes(calls: DataFrame) -> DataFrame:
     """(session_id, turn_index, call_ord, verb, runs): shell calls that commit or push, by their first such command, with all SHAs that
     lines of that verb confirm in the output, whichever command they are of."""
-    shell = calls.where("is_shell").select("session_id", "turn_index", "call_ord", confirmed("commit", "output").alias("c"), confirmed("push", "output").alias("p"), invocations(F.col("input_json")).alias("argvs"))
-    verb = F.expr(f"get(filter(transform(argvs, argv -> {git_call('argv')}.sub), v -> v in ('commit', 'push')), 0)")
-    return shell.withColumn("verb", verb).where("verb is not null").select("session_id", "turn_index", "call_ord", "verb", F.expr("if(verb = 'commit', c, p)").alias("runs"))
+    verb = F.expr("get(filter(transform(gits, g -> g.sub), v -> v in ('commit', 'push')), 0)")
+    return told(calls).withColumn("verb", verb).where("verb is not null").select("session_id", "turn_index", "call_ord", "verb", F.expr("if(verb = 'commit', commit_runs, push_runs)").alias("runs"))
 
 
 def commit_subjects(calls: DataFrame) -> DataFrame:
@@ -254,6 +264,5 @@ def commit_subjects(calls: DataFrame) -> DataFrame:
     step = f"""case when s.subject is not null or s.want = 'done' then s when s.want = 'value' then {to()} when s.want = 'subject' then {to(subject="w")}
       when w = '--' then {to(want="'done'")} when w in ('--message', '-m', '-am') then {to(want="'subject'")} when w like '--message=%' then {to(subject="substring(w, 11)")}
       when w like '-m_%' then {to(subject="substring(w, 3)")} when w in ('-c', '-C', '-F', '-t', '-S') then {to(want="'value'")} else s end"""
-    shell = calls.where("is_shell").select("session_id", F.explode(invocations(F.col("input_json"))).alias("argv")).select("session_id", F.expr(git_call("argv")).alias("git"))
-    found = shell.where("git.sub = 'commit'").select("session_id", F.expr(f"aggregate(git.args, {start}, (s, w) -> {step}, s -> s.subject)").alias("subject"))
+    found = told(calls).select("session_id", F.explode("gits").alias("git")).where("git.sub = 'commit'").select("session_id", F.expr(f"aggregate(git.args, {start}, (s, w) -> {step}, s -> s.subject)").alias("subject"))
     return found.where("subject <> ''").distinct()

@@ -54,3 +54,12 @@ def test_roles_and_nested(spark):
     files = ["/l/p/subagents/agent-1.jsonl", "/l/p/subagents/agent-1/subagents/agent-2.jsonl", "/l/p/subagents/note.jsonl", "/l/p/agent-3.jsonl", *(f"/l/q/subagents/agent-{k:03}.jsonl" for k in range(205))]
     got = C.nested_candidates(parents, spark.createDataFrame([(f,) for f in files], "file string")).collect()
     assert [r["agent_id"] for r in got if r["parent_id"] == "p"] == ["1"] and max(r["agent_id"] for r in got) == "199" and len(got) == 201
+
+
+def test_command_lines_are_cut_once(spark):
+    # a stage with several uses is stored, so the answer's plan cuts no command line and isn't planned from the calls again
+    sessions = {"a": ("x", "repo", True, True, False, [('git commit -m "m"', "[f aaaaaaa] m")]), "b": ("codex", "repo", True, True, False, [("ls", "")])}
+    got, found, calls = run(spark, sessions, {"a": "what the first commit says"}, [(SHA["a"], "p1")], 1)
+    assert got == {"a": ("anchor", None, "slice"), "b": ("helper", None, "full")}
+    assert "ArrowEvalPython" in C.G.git_commands(calls)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
