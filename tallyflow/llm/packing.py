@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import coded, slices, table
+from tallyflow.llm.common import dictionary, kept, slices, table
 from tallyflow.llm.tokens import Remembered, at_blanks, byte_symbols, word_splitter
 
 
@@ -26,6 +27,12 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+#: Pieces that end with points or commas after a digit or a letter, plain words, and what matches nothing.
+MARKED, PLAIN, NEVER = "[0-9A-Za-zÀ-ÖØ-öø-ɏ][,.]+$", "^[A-Za-z]+$", r"[^\s\S]"
+#: Words and other pieces that a worker remembers; they bound memory, not results.
+WORDS_KEPT, PIECES_KEPT = 300_000, 100_000
+
+
 class TextIds:
     """The ids of whole texts, as the tokenizers library gives them.
 
@@ -49,33 +56,48 @@ class TextIds:
             symbols = w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(stand_in)
             return _little([t.id for t in encode(symbols)])
 
-        word = Remembered(word).__getitem__
+        word = self.word = Remembered(word, WORDS_KEPT).__getitem__
 
         def piece(p: str) -> bytes:
             if not p.isalnum() and any(s in p for s in special):
                 return _little(tokenizer.encode(p, add_special_tokens=False).ids)
-            words = words_in(p)
-            return word(words[0]) if len(words) == 1 else b"".join(map(word, words))
-
-        self.piece = Remembered(piece).__getitem__
+            return b"".join(map(word, words_in(p)))
+
+        self.piece = Remembered(piece, PIECES_KEPT).__getitem__
+        self.marked = MARKED if not any("," in s or "." in s for s in special) else NEVER
+
+    def known(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece.
+
+        Arrow takes points and commas off the ends of words and lower-cases plain words, so that what is left comes more
+        often; of that, each kind is a Python object once.
+        """
+        bare = pc.if_else(pc.match_substring_regex(pieces, self.marked), pc.utf8_rtrim(pieces, ",."), pieces)
+        plain = pc.match_substring_regex(bare, PLAIN)
+        mark = pc.if_else(pc.equal(bare, pieces), "", pc.replace_substring_regex(pieces, r"^.*[^,.]", ""))
+        words, others = pc.ascii_lower(bare.filter(plain)).dictionary_encode(), bare.filter(pc.invert(plain)).dictionary_encode()
+        spelled = pa.concat_arrays([_ids(self.word, words), _ids(self.piece, others)])
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(pieces))
+        ended = _ids(lambda m: self.word(m) if m else b"", mark.dictionary_encode())
+        return pc.binary_join_element_wise(spelled.take(pa.array(place)), ended, pa.scalar(b"", pa.large_binary()))
 
     def __call__(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after the other with ``end`` after each, and where each text's begin."""
-        distinct, codes, starts = coded(at_blanks(texts))
-        known = [*map(self.piece, distinct), end]
+        distinct, codes, starts = dictionary(at_blanks(texts))
         codes = np.insert(codes.astype(np.int64), starts[1:], len(distinct))
-        n = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        long, first = n[codes], (np.cumsum(n) - n)[codes]
-        ends = np.cumsum(long)
-        at = np.arange(ends[-1]) + np.repeat(first - (ends - long), long)
-        return np.frombuffer(b"".join(known), dtype="<u4")[at], np.concatenate([[0], ends])[starts + np.arange(len(starts))]
+        found = pa.concat_arrays([self.known(distinct), pa.array([end], pa.large_binary())]).take(pa.array(codes))
+        _, ends, held = found.buffers()
+        bounds = np.frombuffer(ends, dtype=np.int64)[: len(found) + 1] // 4
+        return np.frombuffer(held, dtype="<u4", count=bounds[-1]), bounds[starts + np.arange(len(starts))]
 
 
-def _little(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _ids(of: Callable[[str], bytes], coded: pa.DictionaryArray) -> pa.Array:
+    return pa.array(list(map(of, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), pa.large_binary()).take(coded.indices)
 
 
-_encoders: dict[str, TextIds] = {}
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, longest: int = 2048,
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, TextIds(vocabulary))
+        ids_of = kept(("ids", vocabulary), lambda: TextIds(vocabulary))
         for b in slices(batches):
             ids, bounds = ids_of(b.column(1), end_id.to_bytes(4, "little"))
             totals = np.diff(bounds)

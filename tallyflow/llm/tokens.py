@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import coded, slices, table
+from tallyflow.llm.common import coded, kept, slices, table
 
 #: Pieces that a worker remembers at most, and the longest that it does; they bound memory, not results.
 CACHE, LONGEST = 300_000, 64
@@ -162,9 +162,6 @@ def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     return count
 
 
-_counters: dict[str, Callable[[pa.Array], np.ndarray]] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, whole texts, in one pass without a shuffle.
 
@@ -173,7 +170,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, key: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counters.get(vocabulary) or _counters.setdefault(vocabulary, counter(vocabulary))
+        count = kept(("counts", vocabulary), lambda: counter(vocabulary))
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count(b.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
 

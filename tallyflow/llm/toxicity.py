@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import coded, cut, slices, table
+from tallyflow.llm.common import coded, cut, forget, slices, table
 from tallyflow.llm.tokens import Remembered, at_blanks
 
 #: Labelled rows that are learned from at most, the same ones in every run: those of the least hashes.
@@ -309,6 +309,7 @@ def _featured(models: list[Model]):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         at, find = None, None
         for b in slices(batches, 0):
             which = b.column(2).to_numpy()

@@ -5,11 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tallyflow.llm import packing, pii, quality, sharding, tokens
+from tallyflow.llm import common, packing, pii, quality, sharding, tokens
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,3 +149,23 @@ def test_lines_of_form_feeds_and_of_the_letter_f(spark):
     got = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     lines = [[x for x in t.split("\n") if WORDS.search(x)] for t in texts]
     assert [(r["n_lines"], r["n_dup_lines"]) for r in got] == [(len(x), len(x) - len(set(x))) for x in lines] == [(4, 1), (2, 1), (1, 0)]
+
+
+def test_packing_spells_a_word_once_whatever_its_case_and_marks():
+    ids, asked = packing.TextIds(VOCABULARY), []
+    spell = ids.word
+    ids.word = lambda w: asked.append(w) or spell(w)
+    texts = pa.array(["Abc abc, ABC. abc., é. 3,", "", "don't.,"])
+    found, bounds = ids(texts, b"\1\0\0\0")
+    assert sorted(asked) == sorted(["abc", ",", ".", ".,"])
+    library = Tokenizer.from_file(VOCABULARY)
+    assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts.to_pylist()]
+
+
+def test_a_worker_keeps_one_operator():
+    first = common.kept(("a",), dict)
+    assert common.kept(("a",), dict) is first
+    common.kept(("b",), dict)
+    assert list(common._kept) == [("b",)]
+    common.forget()
+    assert not common._kept
