@@ -30,7 +30,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 #: Pieces that end with points or commas after a digit or a letter, plain words, and what matches nothing.
 MARKED, PLAIN, NEVER = "[0-9A-Za-zÀ-ÖØ-öø-ɏ][,.]+$", "^[A-Za-z]+$", r"[^\s\S]"
 #: Words and other pieces that a worker remembers; they bound memory, not results.
-WORDS_KEPT, PIECES_KEPT = 300_000, 100_000
+WORDS_KEPT, PIECES_KEPT = 400_000, 150_000
 
 
 class TextIds:
